@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sparkfolio.plans import records
+
+QUERIES: dict = {**records.QUERIES}
+SQL: dict[str, str] = {**records.SQL}
 
 
 def flagship(spark, sf_dir):
