@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.bpe import encode_documents
+from sparkfolio.llm.lookalike import consistent_text, find_oddities
 from sparkfolio.llm.neardup import duplicate_keys
 from sparkfolio.llm.packing import pack_documents
 from sparkfolio.llm.spam import find_spam, spam_features
@@ -19,6 +20,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(abstracts.unionByName(sections), "key", "text", size=3, least=0.5, within="src")
 
 
+def _texts_as_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abstracts = table(spark, sf_dir, "patents").select(F.lit("abstract").alias("src"), F.col("doc_id").alias("rec_key"), F.col("abstract").alias("text"))
+    sections = table(spark, sf_dir, "normalized_sections").select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), F.col("original").alias("text"))
+    return abstracts.unionByName(sections)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_oddities(_texts_as_received(spark, sf_dir), ["src", "rec_key"], "text")
+
+
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_text(_texts_as_received(spark, sf_dir), ["src", "rec_key"], "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +50,7 @@ def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p9_containers, p10_found, p10_features)}
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
 
 #: None of these operators can be said in SQL over whole tables; tests hold them against brute force and exact round trips.
 SQL: dict[str, str] = {}
