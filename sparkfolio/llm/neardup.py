@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,23 +182,17 @@ def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8,
     place = signed.select(F.xxhash64("g").alias("gh"), "h1", F.posexplode("keys").alias("band", "k"))
     # one number for group, band and key
     place = place.select((F.shiftleft(F.col("band").cast("long"), 32) + F.pmod("k", F.lit(1 << 32))).bitwiseXOR(F.col("gh")).alias("key"), "h1")
-    lone = F.count("*").over(_by("key"))
-    met = cut(place.repartition("key").distinct().withColumn("n", lone).where("n > 1").drop("n"))
-    pairs = met.select("key", F.col("h1").alias("a")).join(met.select("key", F.col("h1").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    # keys of single texts go first; then the sketches come to what is left, so that chance meetings end in the join that finds them
+    met = cut(place.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "h1"))
     sketch = signed.select("g", "h1", "s1", "s2").distinct()
-    left = sketch.select("g", F.col("h1").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = sketch.select("g", F.col("h1").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    met = met.distinct().join(sketch, "h1")
+    a = met.select("key", "g", F.col("h1").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    b = met.select("key", F.col("g").alias("g2"), F.col("h1").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    likely = cut(pairs.join(left, "a").join(right, ["g", "b"]).where(SKETCH - apart >= agreeing_bits(least)).select("g", "a", "b"))
+    likely = cut(a.join(b, "key").where("a < b and g = g2").where(SKETCH - apart >= agreeing_bits(least)).select("g", "a", "b").distinct())
     return _verified(base, likely, size, least, bag, within)
 
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def _verified(base: DataFrame, pairs: DataFrame, size: int, least: float, bag: bool, within: str | None) -> DataFrame:
     """The pairs whose exact likeness is enough; only texts that are in a pair are read again."""
     wanted = pairs.select("g", F.col("a").alias("h1")).union(pairs.select("g", F.col("b").alias("h1"))).distinct()
@@ -244,8 +238,8 @@ def duplicate_keys(df: DataFrame, key: str, text: str, size: int, least: float,
     with several texts is in a pair if one of them is. Null keys are in none.
     """
     rows = df.select(F.col(within), F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    runs = F.size(F.regexp_extract_all(F.col("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= size
-    members = cut(rows.select(within, "k", *text_id(F.col("t")), runs.alias("long")).where("long").drop("long").distinct())
+    words = F.col("t").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (size - 1))  # stops at the first run
+    members = cut(rows.where(words).select(within, "k", *text_id(F.col("t"))).distinct())
     a = members.select(within, F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), F.col("k").alias("ka"))
     b = members.select(within, F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), F.col("k").alias("kb"))
     near = near_duplicates(rows, "t", size, least, bag, within)
