@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm.bpe import encode_documents
 from sparkfolio.llm.lookalike import consistent_text, find_oddities
+from sparkfolio.llm.names import variant_spellings
 from sparkfolio.llm.neardup import duplicate_keys
 from sparkfolio.llm.packing import pack_documents
 from sparkfolio.llm.spam import find_spam, spam_features
 from sparkfolio.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_spellings(table(spark, sf_dir, "patents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     abstracts = table(spark, sf_dir, "patents").select(F.lit("abstract").alias("src"), F.col("doc_id").alias("key"), F.col("abstract").alias("text"))
     joined = F.array_join("paragraphs", " ")  # leaves null paragraphs out
@@ -50,7 +55,7 @@ def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
 
 #: None of these operators can be said in SQL over whole tables; tests hold them against brute force and exact round trips.
 SQL: dict[str, str] = {}
