@@ -29,6 +29,8 @@ _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 BANDS, ROWS = 48, 3
 #: Registers beyond those of the bands are not drawn; the sketch takes one bit of each of the first SKETCH ones.
 SKETCH = 128
+#: Texts to be verified whose names are sent to all tasks; more of them are joined by a shuffle of the texts.
+BROADCAST_ROWS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,7 +197,9 @@ def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8,
 
 def _verified(base: DataFrame, pairs: DataFrame, size: int, least: float, bag: bool, within: str | None) -> DataFrame:
     """The pairs whose exact likeness is enough; only texts that are in a pair are read again."""
-    wanted = pairs.select("g", F.col("a").alias("h1")).union(pairs.select("g", F.col("b").alias("h1"))).distinct()
+    wanted = cut(pairs.select("g", F.col("a").alias("h1")).union(pairs.select("g", F.col("b").alias("h1"))).distinct())
+    if wanted.count() <= BROADCAST_ROWS:  # the texts then stay where they are
+        wanted = F.broadcast(wanted)
     schema = T.StructType(
         [T.StructField("g", T.StringType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
         + [T.StructField("runs", T.ArrayType(T.LongType(), False))]
