@@ -10,10 +10,33 @@ from sparkfolio.llm.lookalike import consistent_text, find_oddities
 from sparkfolio.llm.names import variant_spellings
 from sparkfolio.llm.neardup import duplicate_keys
 from sparkfolio.llm.packing import pack_documents
+from sparkfolio.llm.scans import reflowed, scan_faults
 from sparkfolio.llm.spam import find_spam, spam_features
 from sparkfolio.session import table
 
 
+#: Titles up to this number go to all tasks, more of them to the texts by a shuffle.
+TITLES_SENT = 1_000_000
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (src, rec_key, text, title) of chunks and sections; a section's paragraphs are parted by a blank line."""
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("src"), F.col("chunk_id").alias("rec_key"), F.col("document_id").alias("doc_id"), "text")
+    joined = F.array_join("paragraphs", "\n\n")
+    sections = table(spark, sf_dir, "patent_sections").select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), "doc_id", joined.alias("text"))
+    titles = table(spark, sf_dir, "patents").where("doc_id is not null and title is not null").groupBy("doc_id").agg(F.min("title").alias("title"))
+    few = table(spark, sf_dir, "patents").count() <= TITLES_SENT
+    return chunks.unionByName(sections).join(F.broadcast(titles) if few else titles, "doc_id", "left").select("src", "rec_key", "text", "title")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_faults(_scanned(spark, sf_dir), ["src", "rec_key"]).select("src", "rec_key", "defect", "item").distinct()
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflowed(_scanned(spark, sf_dir).distinct(), ["src", "rec_key"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_spellings(table(spark, sf_dir, "patents"))
 
@@ -55,7 +78,7 @@ def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
 
 #: None of these operators can be said in SQL over whole tables; tests hold them against brute force and exact round trips.
 SQL: dict[str, str] = {}
