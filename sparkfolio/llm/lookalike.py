@@ -78,7 +78,8 @@ def repaired(word: str, before: str, after: str) -> str | None:
     if kind in ("", "L"):
         return None
     if kind != "X":
-        if not (before == after == "L" and sum(map(str.isalpha, word)) > 1 and all(c in TO_LATIN for c in word if c.isalpha())):
+        around = {before, after} - {""}
+        if not (around == {"L"} and sum(map(str.isalpha, word)) > 1 and all(c in TO_LATIN for c in word if c.isalpha())):
             return None
         own = "L"
     else:
@@ -93,6 +94,15 @@ def repaired(word: str, before: str, after: str) -> str | None:
     return out if out != word and script(out) == own else None
 
 
+def main_script(word: str) -> str:
+    """The script of a word, or of most of its letters that have no look-alike."""
+    kind = script(word)
+    if kind != "X":
+        return kind
+    firm = [script(c) for c in word if c not in TO_LATIN and c not in TO_CYRILLIC]
+    return "L" if firm.count("L") >= firm.count("C") else "C"
+
+
 def _clean(raw: str) -> str:
     return base_form(raw.strip(OUTER)).strip(OUTER)
 
@@ -112,7 +122,7 @@ def oddities(text: str) -> Iterator[tuple[bool, str, str | None, str | None, str
     fixes: list[str | None] = [None] * len(raw)
     for i, f in enumerate(forms):
         if not f.isascii():
-            fixes[i] = repaired(f, script(forms[i - 1]) if i else "", script(forms[i + 1]) if i + 1 < len(forms) else "")
+            fixes[i] = repaired(f, main_script(forms[i - 1]) if i else "", main_script(forms[i + 1]) if i + 1 < len(forms) else "")
     for i, (w, f, x) in enumerate(zip(bare, forms, fixes)):
         if f and (w != f or x):
             yield w != f, f, x, None, None
