@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sparkfolio.plans import records
+from sparkfolio.plans import checks, model, records, retrieval
 
-QUERIES: dict = {**records.QUERIES}
-SQL: dict[str, str] = {**records.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **checks.QUERIES, **model.QUERIES, **records.QUERIES}
+SQL: dict[str, str] = {**retrieval.SQL, **checks.SQL, **model.SQL, **records.SQL}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return retrieval.bm25_topk(spark, sf_dir)
