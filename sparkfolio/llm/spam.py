@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from sparkfolio.llm.bpe import blocks
 
 # Words that carry grammar rather than a topic, by language (ja: see _TERM, kana mark grammar there).
+# "en" and "pas" are left out: they are as common in the phrases of shops as in sentences.
 FUNCTION_WORDS = {
     "en": "a an the each every said one some any this that these those such its it is are was were be been being has have had may can "
     "must shall will would not no of in on at by for from with without within between beneath along across through toward against into "
@@ -22,10 +23,10 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einen einem einer eines jede jeder jedes jeden diese dieser dieses diesen und oder aber nicht "
     "ist sind war wird werden hat haben kann in im an am auf aus bei mit nach seit von vom zu zum zur für über unter durch gegen ohne "
     "entlang nahe zwischen als wie wenn während weil dass sich es er sie wir",
-    "fr": "le la les l un une des du de d ce cet cette ces chaque son sa ses et ou mais ne pas est sont a ont été être avec sans dans sur "
+    "fr": "le la les l un une des du de d ce cet cette ces chaque son sa ses et ou mais ne est sont a ont été être avec sans dans sur "
     "sous vers contre par pour entre grâce près après avant chez lorsque quand que qui se il elle ils nous",
     "es": "el la los las un una unos unas de del dicho dicha dichos dichas este esta estos cada su sus y o pero no es son ha han con sin "
-    "en sobre bajo hacia desde mediante según tras entre por para contra cuando que se lo le",
+    "sobre bajo hacia desde mediante según tras entre por para contra cuando que se lo le",
 }
 _FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
@@ -39,6 +40,8 @@ _LINK, _TAG, _FUNC, _KANA, _NUMBER = 1, 2, 3, 4, 5
 REACH, THIN = 7, 0.14
 #: Shifts at which a text is laid over itself.
 LAGS = 24
+#: Listed terms in a stretch over which they are counted as distinct.
+STRETCH = 50
 
 
 def _kind(term: str) -> int:
@@ -85,7 +88,7 @@ def features(texts: list[str | None], terms: Terms) -> dict[str, np.ndarray]:
     listed: share of its terms amid which there are next to no function words; links: share of links and tags among the
     terms in such places; autocorrelation: mean over the lags of the share of places with the same term as `lag` places
     before, among listed terms; gap_regularity: share of recurrences whose gap is within a quarter of the text's median gap;
-    distinct_share: distinct terms among the listed ones. All are 0 where there are no terms.
+    distinct_share: distinct terms among the listed ones, by stretches of STRETCH of them. All are 0 where there are no terms.
     """
     lists = [terms.codes(t) if t else [] for t in texts]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -128,7 +131,14 @@ def features(texts: list[str | None], terms: Terms) -> dict[str, np.ndarray]:
     has = n_gap > 0
     middle[has] = gap[by][(np.cumsum(n_gap) - n_gap)[has] + n_gap[has] // 2]
     regular = np.bincount(gap_doc, weights=np.abs(gap - middle[gap_doc]) <= 0.25 * middle[gap_doc], minlength=len(lists)) if len(gap_doc) else np.zeros(len(lists))
-    distinct = n_thin - n_gap
+    # distinct terms by stretches of the list, else a long list would look repetitive by its length alone
+    nth = np.concatenate([[0], np.cumsum(thin)])
+    stretch = (nth[t] - nth[start[doc[t]]]) // STRETCH
+    seen = np.lexsort((code[t], stretch, doc[t]))
+    a, b, c = doc[t][seen], stretch[seen], code[t][seen]
+    new = np.ones(len(seen), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    distinct = np.bincount(a[new], minlength=len(lists)).astype(float)
     return {
         "n_terms": n,
         "listed": ratio(n_thin, n),
