@@ -80,7 +80,7 @@ def original_span(offsets, start, end) -> Column:
     """
     m, a, b = col(offsets), col(start), col(end)
     size = F.size(m["orig_start"])
-    place = F.when(a < size, F.get(m["orig_start"], a)).otherwise(F.coalesce(F.element_at(m["orig_end"], -1), F.lit(0)))
+    place = F.when(a < size, F.get(m["orig_start"], a)).otherwise(F.coalesce(F.try_element_at(m["orig_end"], F.lit(-1)), F.lit(0)))
     whole = F.struct(F.array_min(F.slice(m["orig_start"], a + 1, b - a)).alias("start"), F.array_max(F.slice(m["orig_end"], a + 1, b - a)).alias("end"))
     return F.when((a >= 0) & (a < b) & (b <= size), whole).when((a == b) & (a >= 0) & (a <= size), F.struct(place.alias("start"), place.alias("end")))
 

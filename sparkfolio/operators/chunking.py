@@ -15,7 +15,7 @@ from sparkfolio.functions.text import col, estimate_tokens, stable_chunk_id
 
 TARGET, OVERLAP = 180, 1
 _PIECE = re.compile(r"\w+|[^\w\s]")
-_BREAK = re.compile(r"\n[^\S\n]*(?:\n\s*)+")
+_BREAK = re.compile(r"\n(?:[^\S\n]*\n)+")
 
 
 def paragraph_spans(text: str) -> list[tuple[int, int]]:

@@ -33,7 +33,7 @@ COMPACT_ATTRIBUTES = {"patent-document": ("lang", "country", "doc-number"), "cla
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, xml): whole instances as text."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^\s*<\?xml[^>]*\?>", "").alias("xml"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^\s*<\?xml[^>]*\?>", "").alias("xml"))
 
 
 def read_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -43,7 +43,7 @@ def read_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 def by_local_name(xml, name: str) -> Column:
     """Text of the first element of that local name, stripped; null if there is none or it is blank."""
-    return F.nullif(F.trim(F.xpath_string(col(xml), F.lit(f"string((//*[local-name()='{name}']/text())[1])"))), F.lit(""))
+    return F.nullif(F.trim(F.xpath_string(col(xml), F.lit(f"//*[local-name()='{name}']/text()"))), F.lit(""))
 
 
 def bibliography(df: DataFrame, xml: str = "xml") -> DataFrame:
