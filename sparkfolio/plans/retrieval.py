@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as tx
 from sparkfolio.operators import context, evaluate, fusion, guards, sparse, vectors
-from sparkfolio.session import cut, table
+from sparkfolio.session import cut, spread, table
 
 #: The queries asked of documents and of chunks.
 ASKED = (
@@ -28,7 +28,7 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def tokenize_counts(spark, sf_dir):
@@ -97,7 +97,7 @@ def rrf_fusion(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    return table(spark, sf_dir, "chunks")
+    return spread(table(spark, sf_dir, "chunks"))
 
 
 def chunk_run(spark, sf_dir):
