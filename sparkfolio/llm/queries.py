@@ -12,7 +12,7 @@ from sparkfolio.llm.neardup import duplicate_keys
 from sparkfolio.llm.packing import pack_documents
 from sparkfolio.llm.scans import reflowed, scan_faults
 from sparkfolio.llm.spam import find_spam, spam_features
-from sparkfolio.session import table
+from sparkfolio.session import spread, table
 
 
 #: Titles up to this number go to all tasks, more of them to the texts by a shuffle.
@@ -21,9 +21,9 @@ TITLES_SENT = 1_000_000
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (src, rec_key, text, title) of chunks and sections; a section's paragraphs are parted by a blank line."""
-    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("src"), F.col("chunk_id").alias("rec_key"), F.col("document_id").alias("doc_id"), "text")
+    chunks = spread(table(spark, sf_dir, "chunks")).select(F.lit("chunk").alias("src"), F.col("chunk_id").alias("rec_key"), F.col("document_id").alias("doc_id"), "text")
     joined = F.array_join("paragraphs", "\n\n")
-    sections = table(spark, sf_dir, "patent_sections").select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), "doc_id", joined.alias("text"))
+    sections = spread(table(spark, sf_dir, "patent_sections")).select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), "doc_id", joined.alias("text"))
     titles = table(spark, sf_dir, "patents").where("doc_id is not null and title is not null").groupBy("doc_id").agg(F.min("title").alias("title"))
     few = table(spark, sf_dir, "patents").count() <= TITLES_SENT
     return chunks.unionByName(sections).join(F.broadcast(titles) if few else titles, "doc_id", "left").select("src", "rec_key", "text", "title")
@@ -42,15 +42,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abstracts = table(spark, sf_dir, "patents").select(F.lit("abstract").alias("src"), F.col("doc_id").alias("key"), F.col("abstract").alias("text"))
+    abstracts = spread(table(spark, sf_dir, "patents")).select(F.lit("abstract").alias("src"), F.col("doc_id").alias("key"), F.col("abstract").alias("text"))
     joined = F.array_join("paragraphs", " ")  # leaves null paragraphs out
-    sections = table(spark, sf_dir, "patent_sections").select(F.lit("section").alias("src"), F.col("section_id").alias("key"), joined.alias("text"))
+    sections = spread(table(spark, sf_dir, "patent_sections")).select(F.lit("section").alias("src"), F.col("section_id").alias("key"), joined.alias("text"))
     return duplicate_keys(abstracts.unionByName(sections), "key", "text", size=3, least=0.5, within="src")
 
 
 def _texts_as_received(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abstracts = table(spark, sf_dir, "patents").select(F.lit("abstract").alias("src"), F.col("doc_id").alias("rec_key"), F.col("abstract").alias("text"))
-    sections = table(spark, sf_dir, "normalized_sections").select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), F.col("original").alias("text"))
+    abstracts = spread(table(spark, sf_dir, "patents")).select(F.lit("abstract").alias("src"), F.col("doc_id").alias("rec_key"), F.col("abstract").alias("text"))
+    sections = spread(table(spark, sf_dir, "normalized_sections")).select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), F.col("original").alias("text"))
     return abstracts.unionByName(sections)
 
 
@@ -63,19 +63,19 @@ def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_spam(table(spark, sf_dir, "documents"))
+    return find_spam(spread(table(spark, sf_dir, "documents")))
 
 
 def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_features(table(spark, sf_dir, "documents"))
+    return spam_features(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_text, p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
