@@ -86,7 +86,22 @@ w AS (SELECT n.doc_id, n.number, n.number AS root, 0 AS d, CAST(n.number AS VARC
       UNION ALL
       SELECT n.doc_id, n.number, w.root, w.d + 1, w.path || '/' || n.number FROM w JOIN n ON n.doc_id = w.doc_id AND n.up = w.number)
 """
+_P3 = r"""
+WITH v AS (SELECT record_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN payload END END AS p FROM patent_intake),
+t AS (SELECT record_id, substr(fullkey, 3) AS k FROM v, json_tree(v.p) j
+      WHERE v.p IS NOT NULL AND type <> 'NULL' AND fullkey <> '$' AND (type <> 'ARRAY' OR ends_with(fullkey, ']')) AND NOT contains(fullkey, '][')),
+u AS (SELECT record_id, [CASE WHEN ends_with(x, ']') THEN x ELSE x || '[0]' END FOR x IN string_split(k, '.')] AS parts, regexp_replace(k, '\[\d+\]', '', 'g') AS names FROM t),
+w AS (SELECT *, CASE WHEN names = 'assignees' THEN 'assignee' WHEN names = 'assignees.contacts' THEN 'contact' WHEN names = 'claims' THEN 'claim'
+      WHEN regexp_full_match(names, 'claims\.limitations(\.sub)*') THEN 'limitation' WHEN regexp_full_match(names, '(sections|description)(\.subsections)*') THEN 'section'
+      WHEN regexp_full_match(names, '(sections|description)(\.subsections)*\.paragraphs') THEN 'paragraph' END AS child_kind FROM u)
+SELECT record_id, child_kind, array_to_string(parts, '.') AS node_path, array_to_string(parts[1 : len(parts) - 1], '.') AS parent_path FROM w WHERE child_kind IS NOT NULL
+"""
 SQL = {
+    "p3_found": _P3,
+    "p5_circles": _TREE
+    + """, bad AS (SELECT n.* FROM n LEFT JOIN w ON w.doc_id = n.doc_id AND w.number = n.number WHERE w.number IS NULL),
+    r AS (SELECT doc_id, number AS s, up AS c FROM bad UNION SELECT r.doc_id, r.s, b.up FROM r JOIN bad b ON b.doc_id = r.doc_id AND b.number = r.c),
+    o AS (SELECT doc_id, s FROM r WHERE s = c) SELECT r.doc_id, CAST(min(r.c) AS INT) AS circle, r.s AS number FROM r JOIN o ON o.doc_id = r.doc_id AND o.s = r.s GROUP BY r.doc_id, r.s""",
     "p1_found": _P1 + "SELECT ref_table, doc_id, ref_from, ref_to, ref_state, strftime(seen, '%Y-%m') AS ref_month FROM u WHERE ref_state IS NOT NULL",
     "p1_counts": _P1 + "SELECT ref_table, strftime(seen, '%Y-%m') AS ref_month, ref_state, count(*) AS refs FROM u WHERE ref_state IS NOT NULL GROUP BY 1, 2, 3",
     "p5_found": _TREE
