@@ -80,5 +80,13 @@ def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_text, p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
 
-#: None of these operators can be said in SQL over whole tables; tests hold them against brute force and exact round trips.
-SQL: dict[str, str] = {}
+#: Encoding, packing and the learned repairs cannot be said in SQL; tests hold them against brute force and exact round trips.
+SQL: dict[str, str] = {
+    "p6_found": r"""WITH t AS (SELECT DISTINCT 'abstract' AS src, doc_id AS key, abstract AS text FROM patents WHERE doc_id IS NOT NULL AND abstract IS NOT NULL
+    UNION SELECT DISTINCT 'section', section_id, array_to_string(paragraphs, ' ') FROM patent_sections WHERE section_id IS NOT NULL AND paragraphs IS NOT NULL),
+    i AS (SELECT *, row_number() OVER () AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM t),
+    s AS (SELECT src, id, list_distinct([w[x] || ' ' || w[x + 1] || ' ' || w[x + 2] FOR x IN range(1, len(w) - 1)]) AS g FROM i WHERE len(w) > 2),
+    e AS (SELECT src, id, unnest(g) AS g FROM s), p AS (SELECT a.src, a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.src = b.src AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3),
+    f AS (SELECT p.* FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE n / (len(x.g) + len(y.g) - n) >= 0.5)
+    SELECT DISTINCT f.src, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b FROM f JOIN i x ON x.id = a JOIN i y ON y.id = b WHERE x.key <> y.key""",
+}
