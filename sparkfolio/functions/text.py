@@ -103,6 +103,11 @@ def numbers(text) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"\d[\d.,]*"), F.lit(0))
 
 
+def is_number(word) -> Column:
+    """Whether a word is a number and nothing else."""
+    return col(word).rlike(r"^\d[\d.,]*$")
+
+
 def fixed_windows(tokens, size: int, overlap: int = 0) -> Column:
     """Windows of `size` tokens joined by blanks, each beginning size - overlap after the one before; [] for no tokens."""
     if size < 1:

@@ -103,6 +103,12 @@ def manifest(patents: DataFrame, claims: DataFrame, sections: DataFrame) -> Data
     return d.crossJoin(c).crossJoin(s)  # one row each
 
 
+def find_document(docs: DataFrame, key: str, topic: str) -> DataFrame:
+    """One row: the first document by key whose title and abstract hold the topic, 'none' if there is none."""
+    hit = F.contains(F.lower(F.concat_ws(" ", "title", "abstract")), F.lit(topic.lower()))
+    return docs.where(hit).agg(F.coalesce(F.min(key), F.lit("none")).alias("found"))
+
+
 def length_histogram(df: DataFrame, value, bins: int = 30) -> DataFrame:
     """Rows (bin, n): equal-width bins from the least to the greatest value, which is in the last bin."""
     v = df.select(value.cast("double").alias("v")).where("v is not null")

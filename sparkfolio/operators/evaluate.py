@@ -109,6 +109,17 @@ def context_recall(retrieved, relevant) -> Column:
     return F.when(F.size(relevant) == 0, 1.0).otherwise(F.size(F.array_intersect(retrieved, relevant)) / F.size(F.array_distinct(relevant)))
 
 
+def present_gold(gold: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The rows of `gold` (query_id, key) whose document is there; queries that have none left are gone."""
+    return gold.join(docs.select(key).distinct(), key, "left_semi")
+
+
+def judge_score(text) -> Column:
+    """The number `score` of the first JSON object in a judge's reply; 0 if there is none."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.coalesce(F.try_to_number(F.get_json_object(F.when(found != "", found), "$.score"), F.lit("S999.999")).cast("double"), F.lit(0.0))
+
+
 def index_recall(approximate: DataFrame, exact: DataFrame, key: str) -> DataFrame:
     """Rows (query_id, recall): the share of the exact neighbours that the index found too; 1 where there are none."""
     n = exact.groupBy("query_id").agg(F.count("*").alias("wanted"))

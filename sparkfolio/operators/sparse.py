@@ -99,6 +99,28 @@ def tfidf(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10)
     return top_k(m.groupBy("query_id", key).agg(F.sum(part).alias("score")), key, k)
 
 
-def term_curves(k1: float = K1, b: float = B, most: int = 20) -> tuple:
+def filled(run: DataFrame, docs: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+    """A run with exactly k rows per query, as far as there are documents: documents without a hit follow with score 0, by key.
+
+    At most k documents of a query have hits, so the first 2k keys are enough to fill it.
+    """
+    first = docs.select(key).distinct().orderBy(key).limit(2 * k)
+    rest = queries.select("query_id").crossJoin(F.broadcast(first)).join(run.select("query_id", key), ["query_id", key], "left_anti")
+    return top_k(run.select("query_id", key, "score").unionByName(rest.withColumn("score", F.lit(0.0))), key, k)
+
+
+def first_rank_of(run: DataFrame, queries: DataFrame, key: str, targets: DataFrame) -> DataFrame:
+    """Rows (query_id, first): the rank of the first target (query_id, key) of each query, null if none came."""
+    hit = run.join(targets.select("query_id", key).distinct(), ["query_id", key]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    return queries.select("query_id").join(hit, "query_id", "left")
+
+
+def count_in_top(run: DataFrame, targets: DataFrame, key: str, k: int) -> DataFrame:
+    """Rows (query_id, n): how many of the targets are among the k best."""
+    top = run.where(F.col("rank") <= k).join(targets.select("query_id", key).distinct().withColumn("hit", F.lit(1)), ["query_id", key], "left")
+    return top.groupBy("query_id").agg(F.count("hit").alias("n"))
+
+
+def term_curves(k1: float = K1, b: float = B) -> tuple:
     """Columns of BM25's two curves for a frequency f and a relative length r: saturation and length penalty."""
     return F.col("f") * (k1 + 1) / (F.col("f") + k1), 1 - b + b * F.col("r")

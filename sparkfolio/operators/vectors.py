@@ -256,6 +256,24 @@ def maxsim_topk(tokens: DataFrame, queries: DataFrame, document: str, vector: st
     return _global_top(out, document, k)
 
 
+def save_books(spark, books: np.ndarray, folder: str) -> None:
+    """Keep the codebooks of an index as a table (part, code, centre)."""
+    rows = [(i, j, [float(v) for v in c]) for i, b in enumerate(books) for j, c in enumerate(b)]
+    spark.createDataFrame(rows, "part int, code int, centre array<double>").write.mode("overwrite").parquet(folder)
+
+
+def load_books(spark, folder: str) -> np.ndarray:
+    rows = spark.read.parquet(folder).orderBy("part", "code").collect()
+    parts = 1 + max(r.part for r in rows)
+    return np.array([r.centre for r in rows]).reshape(parts, len(rows) // parts, -1)
+
+
+def synthetic_vectors(spark, n: int, dimensions: int = 384, seed: int = 0, parts: int | None = None) -> DataFrame:
+    """Rows (vec_id, embedding) of n random unit vectors for measurements, the same for a seed and a number of parts."""
+    raw = spark.range(0, n, 1, parts).select(F.col("id").alias("vec_id"), F.array(*[F.randn(seed * dimensions + i) for i in range(dimensions)]).alias("x"))
+    return raw.select("vec_id", F.transform("x", lambda v: (v / norm("x")).cast("float")).alias("embedding"))
+
+
 def hashing_embedder(text, dimensions: int = 64):
     """The offline default for a model: signed hashing of tokens, normalised. A Column of array<double>."""
     from sparkfolio.functions.text import tokenize

@@ -146,6 +146,13 @@ def answer_evaluators(spark, sf_dir):
     return m.agg(*[F.round(F.avg(c), 2).alias(c) for c in m.columns])
 
 
+JUDGED = ((1, 'Sure: {"score": 0.75, "why": "good"}'), (2, "no json"), (3, '{"score": "x"}'), (4, '{"score": 1}'), (5, ""))
+
+
+def judge_scores(spark, sf_dir):
+    return spark.createDataFrame(list(JUDGED), "id int, reply string").select("id", evaluate.judge_score(F.col("reply")).alias("score"))
+
+
 def groundedness(spark, sf_dir):
     """Answers against the evidence of the same row: a sentence of it, and one that is not."""
     e = spark.createDataFrame([(1, "A pump moves fluid. The moon is green cheese.", "In the system a pump moves fluid. It is small."), (2, "", "x y"), (3, "Something said.", None)], "id int, answer string, text string")
@@ -179,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         injection_scan, red_team_matrix, chunk_injections, content_safety, scope_rules, scope_decisions, boilerplate_paragraphs, readable_documents, personal_shapes, personal_masked, tool_decisions, structured_outputs, agent_plans,
-        answer_evaluators, groundedness, context_metrics, guarded_pipeline, pipeline_trace,
+        answer_evaluators, judge_scores, groundedness, context_metrics, guarded_pipeline, pipeline_trace,
     )
 }
 
@@ -230,6 +237,8 @@ SQL = {
     "answer_evaluators": rf"""WITH e AS (SELECT *, [x FOR x IN string_split_regex(lower(answer), '\s+') IF x <> ''] AS a, [x FOR x IN string_split_regex(lower(reference), '\s+') IF x <> ''] AS b FROM (VALUES {_rows(EXAMPLES)}) AS v(id, answer, reference))
     SELECT round(avg(CASE WHEN lower(trim(answer)) = lower(trim(reference)) THEN 1.0 ELSE 0.0 END), 2) AS exact, round(avg(CASE WHEN contains(lower(answer), lower(reference)) THEN 1.0 ELSE 0.0 END), 2) AS contains,
     round(avg(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END), 2) AS overlap FROM e""",
+    "judge_scores": f"""SELECT id, coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(regexp_extract(reply, '(?s)\\{{.*\\}}')) THEN regexp_extract(reply, '(?s)\\{{.*\\}}') END, '$.score') AS DOUBLE), 0.0) AS score
+    FROM (VALUES {_rows(JUDGED)}) AS t(id, reply)""",
     "context_metrics": """WITH x AS (SELECT record_id, [c FOR c IN citations IF c IS NOT NULL] AS r, [c FOR c IN list_distinct(citations) IF starts_with(c, 'US')] AS g FROM patents WHERE citations IS NOT NULL)
     SELECT record_id, round(CASE WHEN len(r) = 0 THEN 0.0 ELSE len([d FOR d IN r IF list_contains(g, d)]) / len(r) END, 6) AS precision, round(CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_intersect(r[1:2], g)) / len(g) END, 6) AS recall FROM x""",
     "pipeline_trace": """SELECT user_id, CAST(round(sum(CAST(value AS DECIMAL(18, 6))), 1) AS DOUBLE) AS total_ms, arg_min(event_type, event_id) AS first_stage, CAST(min(event_id) AS VARCHAR) AS first_id FROM events WHERE user_id IS NOT NULL GROUP BY 1""",

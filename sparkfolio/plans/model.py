@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import offsets
@@ -54,7 +55,8 @@ def chunk_labels(spark, sf_dir):
 def full_texts(spark, sf_dir):
     p = _patents(spark, sf_dir).select("doc_id", "title", "abstract")
     s = _sections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "heading", F.array_join("paragraphs", "\n\n").alias("text")))).alias("sections"))
-    c = _claims(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
+    # claims of publications that are no documents here (the largest set among them) are not gathered
+    c = _claims(spark, sf_dir).join(p.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
     j = p.join(s, "doc_id", "left").join(c, "doc_id", "left")
     none_s, none_c = F.array().cast("array<struct<ord:int,section_id:string,heading:string,text:string>>"), F.array().cast("array<struct<number:int,text:string>>")
     text = documents.full_text("title", "abstract", F.coalesce("sections", none_s), F.coalesce("claims", none_c))
@@ -135,7 +137,8 @@ def chunk_percentiles(spark, sf_dir):
 
 def compact_xml(spark, sf_dir):
     p = _patents(spark, sf_dir).select("doc_id", "title", "abstract", tx.iso_date("publication_date").cast("string").alias("day"))
-    c = _claims(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
+    first = _claims(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("number"))).where("n <= 5")
+    c = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
     j = p.join(c, "doc_id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<struct<number:int,text:string>>")))
     return j.select("doc_id", xml.compact_xml("doc_id", "title", "day", "abstract", "claims").alias("xml"))
 
@@ -186,6 +189,30 @@ def html_pages(spark, sf_dir):
     return p.select("page_id", "title", "text", F.array_join("dates", ",").alias("dates"), F.array_join("headings", ",").alias("headings"))
 
 
+def topic_document(spark, sf_dir):
+    t = None
+    for topic in ("cross-modal", "Pump", "no such thing"):
+        r = documents.find_document(table(spark, sf_dir, "patents"), "doc_id", topic).withColumn("topic", F.lit(topic))
+        t = r if t is None else t.unionByName(r)
+    return t.select("topic", "found")
+
+
+def numbers_in_claims(spark, sf_dir):
+    """Numbers of claims' texts: how many there are, the first, and how many words are nothing but a number."""
+    c = table(spark, sf_dir, "patent_claims")
+    n = tx.numbers("claim_text")
+    alone = F.size(F.filter(F.split("claim_text", " "), tx.is_number))
+    return c.select("claim_id", F.size(n).cast("long").alias("n"), F.get(n, F.lit(0)).alias("first"), alone.cast("long").alias("alone"))
+
+
+BOXES = ((1, 0.0, 0.0, 2.0, 3.0), (2, 5.0, 1.0, 4.0, 2.0))
+
+
+def box_sizes(spark, sf_dir):
+    w, h, ok = documents.box_size("x0", "y0", "x1", "y1")
+    return spark.createDataFrame(list(BOXES), "id int, x0 double, y0 double, x1 double, y1 double").select("id", w.alias("width"), h.alias("height"), ok.alias("valid"))
+
+
 def event_percentiles(spark, sf_dir):
     return evaluate.latency_percentiles(table(spark, sf_dir, "events"), "event_type", "value")
 
@@ -224,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         section_kinds, classifications, parsed_dates, chunk_labels, full_texts, manifest, document_rollup, claim_parents, claim_chunks, enriched_claims, section_chunks, recursive_chunks, offset_roundtrip, normalised, languages,
-        title_error_rate, chunk_histogram, chunk_percentiles, compact_xml, compact_xml_valid, index_rows, named_parents, paragraph_budget, under_headings, link_hosts, html_pages, event_percentiles, event_history, event_windows,
+        title_error_rate, chunk_histogram, chunk_percentiles, compact_xml, compact_xml_valid, index_rows, named_parents, paragraph_budget, under_headings, link_hosts, html_pages, topic_document, numbers_in_claims, box_sizes, event_percentiles, event_history, event_windows,
         event_sessions, pricing_summary, segment_revenue,
     )
 }
@@ -304,6 +331,10 @@ SQL = {
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text,
     array_to_string(regexp_extract_all(html, '(?i)<meta[^>]*name="DC.date"[^>]*content="([^"]*)"', 1), ',') AS dates,
     array_to_string([trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) FOR x IN regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)], ',') AS headings FROM s""",
+    "topic_document": " UNION ALL ".join(f"SELECT '{t}' AS topic, coalesce(min(doc_id), 'none') AS found FROM patents WHERE contains(lower(concat_ws(' ', title, abstract)), lower('{t}'))" for t in ("cross-modal", "Pump", "no such thing")),
+    "numbers_in_claims": r"""SELECT claim_id, CAST(len(regexp_extract_all(claim_text, '\d[\d.,]*')) AS BIGINT) AS n, regexp_extract_all(claim_text, '\d[\d.,]*')[1] AS first,
+    CAST(len([x FOR x IN string_split(claim_text, ' ') IF regexp_full_match(x, '\d[\d.,]*')]) AS BIGINT) AS alone FROM patent_claims""",
+    "box_sizes": "SELECT id, x1 - x0 AS width, y1 - y0 AS height, x1 >= x0 AS valid FROM (VALUES " + ", ".join(map(str, BOXES)) + ") AS t(id, x0, y0, x1, y1)",
     "event_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
     "event_history": "SELECT user_id, count(*) AS n, md5(string_agg(event_type, ',' ORDER BY event_id)) AS digest FROM events WHERE user_id IS NOT NULL GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

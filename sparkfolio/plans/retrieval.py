@@ -175,6 +175,36 @@ def known_item_metrics(spark, sf_dir):
     return evaluate.mean_metrics(evaluate.query_metrics(cut(u), q.select("query_id", "document_id", "gain"), "document_id"))
 
 
+def bm25_filled(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return sparse.filled(sparse.bm25(docs, "doc_id", "text", asked(spark)), docs, asked(spark), "doc_id", 10)
+
+
+def _targets(spark):
+    """Chunks of these documents are targets of the first two queries."""
+    return spark.createDataFrame([(1, "US"), (2, "EP")], "query_id int, office string")
+
+
+def target_ranks(spark, sf_dir):
+    """The first rank of a chunk of a document of an office, and how many are among the first fifteen."""
+    run = cut(chunk_run(spark, sf_dir))
+    t = _targets(spark).join(_chunks(spark, sf_dir).select("chunk_id", F.substring("document_id", 1, 2).alias("office")), "office").select("query_id", "chunk_id")
+    return sparse.first_rank_of(run, asked(spark), "chunk_id", t).join(sparse.count_in_top(run, t, "chunk_id", 15), "query_id", "left").select("query_id", "first", "n")
+
+
+def gold_in_corpus(spark, sf_dir):
+    """Citations of every hundredth record as gold, as far as they are in the corpus under that very name."""
+    p = table(spark, sf_dir, "patents")
+    g = p.where("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), F.explode("citations").alias("doc_id")).distinct()
+    return evaluate.present_gold(g, p, "doc_id")
+
+
+def bm25_curves(spark, sf_dir):
+    f = spark.range(0, 20).select(F.col("id").cast("int").alias("f"), (F.col("id") / 5.0).alias("r"))
+    a, b = sparse.term_curves()
+    return f.select("f", F.round(a, 6).alias("saturation"), F.round(b, 6).alias("penalty"))
+
+
 # ------------------------------------------------------------------ vectors
 
 
@@ -240,10 +270,21 @@ def ann_recall(spark, sf_dir):
     """Mean recall of the ten nearest, per index."""
     exact = cut(knn_dot(spark, sf_dir))
     out = None
-    for name, run in (("ivf", ann_ivf), ("int8", int8_topk), ("pq", pq_refined)):
-        r = evaluate.index_recall(run(spark, sf_dir), exact, "vec_id").agg(F.round(F.avg("recall"), 4).alias("recall")).withColumn("index", F.lit(name))
+    for name, run, size in (("ivf", ann_ivf, 256), ("int8", int8_topk, 64), ("pq", pq_refined, 16)):
+        r = evaluate.index_recall(run(spark, sf_dir), exact, "vec_id").agg(F.round(F.avg("recall"), 4).alias("recall")).withColumn("index", F.lit(name)).withColumn("bytes", F.lit(size))
+        out = r if out is None else out.unionByName(r)
+    return out.select("index", "bytes", "recall")
+
+
+def ann_probe_sweep(spark, sf_dir):
+    """Mean recall of the ten nearest by the number of cells looked into."""
+    exact = cut(knn_dot(spark, sf_dir))
+    out = None
+    for probes in (1, 4, 12, 32):
+        run = vectors.ivf_topk(*_vectors(spark, sf_dir), "vec_id", "embedding", probes=probes)
+        r = evaluate.index_recall(run, exact, "vec_id").agg(F.round(F.avg("recall"), 4).alias("recall")).withColumn("probes", F.lit(probes))
         out = r if out is None else out.unionByName(r)
-    return out.select("index", "recall")
+    return out.select("probes", "recall")
 
 
 def maxsim_topk(spark, sf_dir):
@@ -265,7 +306,7 @@ QUERIES = {
     for f in (
         tokenize_counts, token_estimate, sentence_counts, paragraph_counts, fixed_window_chunks, postings, document_frequency, boolean_and, bm25_topk, bm25_okapi_topk, tfidf_topk, bm25_prefiltered,
         bm25_postfiltered, rrf_fusion, chunk_run, chunk_documents, chunk_rerank, context_budget, context_exact, context_prompts, extractive_answers, citation_checks, citation_provenance, known_item_metrics,
-        knn_dot, knn_cosine, knn_l2, knn_label_metrics, int8_topk, int8_codes, ann_ivf, pq_refined, ann_recall, maxsim_topk, memory_report,
+        knn_dot, knn_cosine, knn_l2, knn_label_metrics, int8_topk, int8_codes, ann_ivf, pq_refined, ann_recall, ann_probe_sweep, maxsim_topk, bm25_filled, target_ranks, gold_in_corpus, bm25_curves, memory_report,
     )
 }
 
@@ -344,6 +385,13 @@ SQL = {
     "bm25_topk": _top(_BM25),
     "bm25_okapi_topk": _top(_OKAPI),
     "tfidf_topk": _top(_TFIDF),
+    "bm25_filled": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 10, 'r')}, a AS (SELECT query_id, key, score FROM r UNION ALL SELECT query_id, doc_id, 0.0 FROM q CROSS JOIN (SELECT DISTINCT doc_id FROM documents) d
+    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = q.query_id AND r.key = d.doc_id)), b AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, key AS doc_id, score FROM a) SELECT * FROM b WHERE rank <= 10""",
+    "target_ranks": _RUN + """, t AS (SELECT o.query_id, chunk_id FROM (VALUES (1, 'US'), (2, 'EP')) AS o(query_id, office) JOIN chunks c ON left(c.document_id, 2) = o.office),
+    h AS (SELECT r.query_id, rank, t.chunk_id IS NOT NULL AS hit FROM r LEFT JOIN t ON t.query_id = r.query_id AND t.chunk_id = r.key)
+    SELECT q.query_id, min(rank) FILTER (WHERE hit) AS first, CASE WHEN count(rank) = 0 THEN NULL ELSE count(*) FILTER (WHERE hit AND rank <= 15) END AS n FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY 1""",
+    "gold_in_corpus": "SELECT DISTINCT record_id AS query_id, c AS doc_id FROM (SELECT record_id, unnest(citations) AS c FROM patents WHERE record_id % 100 = 0) WHERE c IN (SELECT doc_id FROM patents)",
+    "bm25_curves": "SELECT CAST(f AS INT) AS f, round(f * 2.5 / (f + 1.5), 6) AS saturation, round(0.25 + 0.75 * (f / 5.0), 6) AS penalty FROM range(0, 20) AS t(f)",
     "bm25_prefiltered": _top(_BM25, where="coalesce(lang = 'de', FALSE)"),
     "bm25_postfiltered": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 30, 'r')}, k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, key AS doc_id, score
     FROM r JOIN documents d ON d.doc_id = r.key WHERE d.lang = 'de') SELECT * FROM k WHERE rank <= 10""",

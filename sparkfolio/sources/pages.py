@@ -39,6 +39,24 @@ def words(files: DataFrame, extractor: Callable[[], Extractor]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, WORDS)
 
 
+def page_texts(found: DataFrame) -> DataFrame:
+    """Rows (path, page, n_words, text): the words of each page in order."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]), " ")
+    return found.groupBy("path", "page").agg(F.count("*").alias("n_words"), text.alias("text"))
+
+
+def images(files: DataFrame, renderer: Callable[[], Callable[[bytes], list[tuple[int, bytes, str]]]]) -> DataFrame:
+    """Rows (path, page, image, ext): rendered pages or embedded images; renderer() is called once per task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        draw = renderer()
+        for b in batches:
+            rows = [(path, *r) for path, content in zip(b["path"], b["content"]) for r in draw(content)]
+            yield pd.DataFrame(rows, columns=["path", "page", "image", "ext"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, image binary, ext string")
+
+
 def ocr_summary(found: DataFrame) -> DataFrame:
     """Rows (path, n_words, mean_conf, least): words with text and a confidence of 0 or more; 0.0 without any; the five least sure ones."""
     ok = F.when((F.trim("text") != "") & (F.col("conf") >= 0), F.col("conf"))

@@ -122,6 +122,15 @@ def test_vector_search_is_brute_force(spark, monkeypatch):
     assert m.collect()[0].vector == [3.0, 1.0]
 
 
+def test_index_is_kept(spark, tmp_path):
+    v = vectors.synthetic_vectors(spark, 60, 8, seed=1, parts=2)
+    assert v.collect() == vectors.synthetic_vectors(spark, 60, 8, seed=1, parts=2).collect()
+    assert all(sum(x * x for x in r.embedding) == pytest.approx(1, abs=1e-5) for r in v.collect())
+    books = vectors.pq_fit(v, "embedding", parts=2, codes=16)
+    vectors.save_books(spark, books, str(tmp_path / "b"))
+    assert (vectors.load_books(spark, str(tmp_path / "b")) == books).all()
+
+
 def test_indexes_reach_their_recall(spark):
     from sparkfolio.plans.retrieval import ann_recall
 
@@ -223,6 +232,9 @@ def test_pages(spark, tmp_path):
     assert [r.text for r in pages.page_preview(w).collect()] == ["one", "two"]
     s = pages.ocr_summary(w).first()
     assert (s.n_words, s.mean_conf, s.least) == (2, 89.5, ["two", "one"])
+    assert pages.page_texts(w).select("page", "n_words", "text").collect()[0][:] == (0, 2, "one two")
+    drawn = pages.images(pages.read_binary(spark, str(tmp_path)), lambda: lambda content: [(0, content[:1], "png")]).collect()
+    assert {(bytes(r.image), r.ext) for r in drawn} == {(b"o", "png"), (b"b", "png")}
     c = pages.columns_of(w, "path").first()
     assert (c.left, c.right) == (1, 1)
 
