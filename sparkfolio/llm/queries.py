@@ -70,6 +70,12 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: containers, tokens in them, and the share of their space that is used."""
+    load = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return load.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count("*") * 2048), 6).alias("used"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spam(spread(table(spark, sf_dir, "documents")))
 
@@ -78,7 +84,7 @@ def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_features(spread(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text, p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p9_fill, p10_found, p10_features)}
 
 #: Encoding, packing and the learned repairs cannot be said in SQL; tests hold them against brute force and exact round trips.
 SQL: dict[str, str] = {
