@@ -193,9 +193,9 @@ def target_ranks(spark, sf_dir):
 
 
 def gold_in_corpus(spark, sf_dir):
-    """Citations of every hundredth record as gold, as far as they are in the corpus under that very name."""
+    """Citations of the records as gold, as far as they are in the corpus under that very name."""
     p = table(spark, sf_dir, "patents")
-    g = p.where("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), F.explode("citations").alias("doc_id")).distinct()
+    g = p.select(F.col("record_id").alias("query_id"), F.explode("citations").alias("doc_id")).distinct()
     return evaluate.present_gold(g, p, "doc_id")
 
 
@@ -390,7 +390,7 @@ SQL = {
     "target_ranks": _RUN + """, t AS (SELECT o.query_id, chunk_id FROM (VALUES (1, 'US'), (2, 'EP')) AS o(query_id, office) JOIN chunks c ON left(c.document_id, 2) = o.office),
     h AS (SELECT r.query_id, rank, t.chunk_id IS NOT NULL AS hit FROM r LEFT JOIN t ON t.query_id = r.query_id AND t.chunk_id = r.key)
     SELECT q.query_id, min(rank) FILTER (WHERE hit) AS first, CASE WHEN count(rank) = 0 THEN NULL ELSE count(*) FILTER (WHERE hit AND rank <= 15) END AS n FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY 1""",
-    "gold_in_corpus": "SELECT DISTINCT record_id AS query_id, c AS doc_id FROM (SELECT record_id, unnest(citations) AS c FROM patents WHERE record_id % 100 = 0) WHERE c IN (SELECT doc_id FROM patents)",
+    "gold_in_corpus": "SELECT DISTINCT record_id AS query_id, c AS doc_id FROM (SELECT record_id, unnest(citations) AS c FROM patents) WHERE c IN (SELECT doc_id FROM patents)",
     "bm25_curves": "SELECT CAST(f AS INT) AS f, round(f * 2.5 / (f + 1.5), 6) AS saturation, round(0.25 + 0.75 * (f / 5.0), 6) AS penalty FROM range(0, 20) AS t(f)",
     "bm25_prefiltered": _top(_BM25, where="coalesce(lang = 'de', FALSE)"),
     "bm25_postfiltered": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 30, 'r')}, k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, key AS doc_id, score
