@@ -103,3 +103,10 @@ def test_pack_documents(spark, encoder):
         if i not in (3, None):
             assert [s for _, s, _ in mine] == [1000 * k for k in range(len(mine))] and len(mine) == -(-n // 1000)
     assert pack_documents(df.where("1 = 0")).count() == 0
+
+
+def test_containers_of_a_corpus_are_full(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pack_documents(docs).groupBy("container_id").sum("n_tokens").collect()
+    load = [r[1] for r in rows]
+    assert max(load) <= 2048 and sum(load) / (2048 * len(load)) > 0.97
