@@ -25,10 +25,24 @@ from sparkfolio.session import cut
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
-#: Bands and registers per band. At likeness 0.5 a pair meets in a band with probability 1 - (1 - 0.5**3)**48 = 0.998.
-BANDS, ROWS = 48, 3
-#: Registers beyond those of the bands are not drawn; the sketch takes one bit of each of the first SKETCH ones.
+#: Likeness of texts that have nothing to do with each other, as measured on patent texts; chance meetings per text and band that are
+#: borne; and the share of pairs at the threshold that may meet in no band.
+CHANCE, MEETINGS, MISSED = 0.01, 4, 0.00165
+#: The sketch takes one bit of each of the first SKETCH registers; so many are drawn at least.
 SKETCH = 128
+
+
+def band_plan(texts: int, least: float) -> tuple[int, int]:
+    """(bands, registers per band) for a number of texts and a threshold.
+
+    A band takes so many registers that a text meets few others by chance, however many texts there are, and there are so many bands
+    that a pair at the threshold meets in one of them with probability 1 - MISSED. Both hold at every size: up to four million
+    texts a threshold of 0.5 takes 48 bands of 3, up to four hundred million 100 bands of 4.
+    """
+    rows = next(r for r in range(3, 20) if texts * CHANCE**r <= MEETINGS)
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-(min(least, 0.99) ** rows))))), rows
+
+
 #: Texts to be verified whose names are sent to all tasks; more of them are joined by a shuffle of the texts.
 BROADCAST_ROWS = 500_000
 
@@ -144,19 +158,19 @@ def agreeing_bits(least: float) -> int:
     return int(SKETCH * p - 3.5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8, bag: bool = True, within: str | None = None, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8, bag: bool = True, within: str | None = None, plan: tuple[int, int] | None = None) -> DataFrame:
     """Pairs (h1_a, h2_a, h1_b, h2_b, likeness) of different texts with a likeness of at least `least`.
 
     A text is named by two 64-bit hashes of itself (h1, h2: see text_id()); exact copies are one text, so copies cost no pairs.
     `bag`: the likeness is of bags (sum of smaller over sum of larger multiplicities), else of sets of distinct runs.
-    `within`: a column; only texts with the same value of it are compared, and it is in the result.
+    `within`: a column; only texts with the same value of it are compared, and it is in the result. `plan`: see band_plan().
 
     Null and empty texts and texts of fewer than `size` words have no runs and are in no pair. Repeated rows count once.
     Other columns are not read. A band's texts are paired by a sort-merge join, which spills; nothing is gathered per key. Keys
     of single texts are dropped before it.
     """
-    if bands * rows < SKETCH:
-        raise ValueError(f"bands x rows must be {SKETCH} at least")
+    bands, rows = plan or band_plan(df.count(), least)
+    registers = max(bands * rows, SKETCH)
     group = F.col(within).cast("string") if within else F.lit("")
     base = df.select(group.alias("g"), *text_id(F.col(text)), F.col(text).alias("text")).where("text is not null")
     schema = T.StructType(
@@ -174,7 +188,7 @@ def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8,
                 if not len(has):
                     continue
                 number = np.searchsorted(has, doc)
-                sig = bag_minhash(number, run, times if bag else np.ones(len(times), np.int64), len(has), bands * rows)
+                sig = bag_minhash(number, run, times if bag else np.ones(len(times), np.int64), len(has), registers)
                 s1, s2 = bit_sketch(sig)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(band_keys(sig, bands, rows).reshape(-1)))
                 at = pa.array(has + s.start)

@@ -236,3 +236,18 @@ def test_many_suspects_are_joined_not_sent(spark, monkeypatch):
     want = set(map(tuple, scans.scan_faults(df, ["src", "rec_key"]).collect()))
     monkeypatch.setattr(scans, "SENT", 0)
     assert set(map(tuple, scans.scan_faults(df, ["src", "rec_key"]).collect())) == want
+
+
+def test_band_plan_keeps_its_promises():
+    for n in (1, 10**6, 10**9, 10**12):
+        for least in (0.3, 0.5, 0.8, 1.0):
+            bands, rows = neardup.band_plan(n, least)
+            assert (1 - min(least, 0.99) ** rows) ** bands <= neardup.MISSED and n * neardup.CHANCE**rows <= neardup.MEETINGS
+
+
+def test_near_duplicates_with_another_plan(spark):
+    base = [f"w{i} x{i} y{i} z{i}" for i in range(30)]
+    text = " ".join(base)
+    df = spark.createDataFrame([(1, text), (2, text + " more words here"), (3, "other words altogether now")], "k int, t string")
+    for plan in ((4, 2), (100, 4)):
+        assert len(neardup.near_duplicates(df, "t", plan=plan).collect()) == 1
