@@ -14,23 +14,24 @@ from sparkfolio.sources import corpus, pages, xml
 from sparkfolio.streaming import sessions
 
 
-def _patents(spark, sf_dir):
-    """One row per document: that of its first delivery."""
-    p = table(spark, sf_dir, "patents")
-    cols = [c for c in p.columns if c != "doc_id"]
-    return p.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*cols), F.struct("ingested_at", "record_id")).alias("r")).select("doc_id", "r.*")
+def _first_delivery(df, keys: list[str], order, cols: list):
+    """One row per key with the given columns (names or expressions) of its first delivery; nothing else is read."""
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    return df.where(known).groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("r")).select(*keys, "r.*")
 
 
-def _claims(spark, sf_dir):
-    c = table(spark, sf_dir, "patent_claims")
-    g = c.where("doc_id is not null and number is not null").groupBy("doc_id", "number")
-    return g.agg(F.min_by(F.struct("claim_text", "dependent_on"), F.struct("loaded_at", "claim_id")).alias("r")).select("doc_id", "number", "r.*")
+def _patents(spark, sf_dir, *cols):
+    return _first_delivery(table(spark, sf_dir, "patents"), ["doc_id"], F.struct("ingested_at", "record_id"), list(cols))
+
+
+def _claims(spark, sf_dir, *cols):
+    return _first_delivery(table(spark, sf_dir, "patent_claims"), ["doc_id", "number"], F.struct("loaded_at", "claim_id"), list(cols))
 
 
-def _sections(spark, sf_dir):
-    s = table(spark, sf_dir, "patent_sections")
-    g = s.where("section_id is not null").groupBy("section_id")
-    return g.agg(F.min_by(F.struct("doc_id", "kind", "heading", "paragraphs", "ord"), "section_row").alias("r")).select("section_id", "r.*")
+def _sections(spark, sf_dir, *cols):
+    return _first_delivery(table(spark, sf_dir, "patent_sections"), ["section_id"], F.col("section_row"), list(cols))
 
 
 def section_kinds(spark, sf_dir):
@@ -53,10 +54,10 @@ def chunk_labels(spark, sf_dir):
 
 
 def full_texts(spark, sf_dir):
-    p = _patents(spark, sf_dir).select("doc_id", "title", "abstract")
-    s = _sections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "heading", F.array_join("paragraphs", "\n\n").alias("text")))).alias("sections"))
+    p = _patents(spark, sf_dir, "title", "abstract")
+    s = _sections(spark, sf_dir, "doc_id", "ord", "heading", "paragraphs").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "heading", F.array_join("paragraphs", "\n\n").alias("text")))).alias("sections"))
     # claims of publications that are no documents here (the largest set among them) are not gathered
-    c = _claims(spark, sf_dir).join(p.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
+    c = _claims(spark, sf_dir, "claim_text").join(p.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
     j = p.join(s, "doc_id", "left").join(c, "doc_id", "left")
     none_s, none_c = F.array().cast("array<struct<ord:int,section_id:string,heading:string,text:string>>"), F.array().cast("array<struct<number:int,text:string>>")
     text = documents.full_text("title", "abstract", F.coalesce("sections", none_s), F.coalesce("claims", none_c))
@@ -68,34 +69,34 @@ def manifest(spark, sf_dir):
 
 
 def document_rollup(spark, sf_dir):
-    c = _claims(spark, sf_dir)
+    c = _claims(spark, sf_dir, "dependent_on", F.length("claim_text").alias("chars"))
     independent = F.col("dependent_on").isNull()
     return c.groupBy("doc_id").agg(
-        F.count_if(independent).alias("n_independent"), F.count_if(~independent).alias("n_dependent"), F.coalesce(F.sum(F.length("claim_text")), F.lit(0)).cast("long").alias("claim_chars")
+        F.count_if(independent).alias("n_independent"), F.count_if(~independent).alias("n_dependent"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("claim_chars")
     )
 
 
 def claim_parents(spark, sf_dir):
     """Each dependent claim with its parent's text length; a parent that isn't there is null."""
-    c = _claims(spark, sf_dir)
-    p = c.select("doc_id", F.col("number").alias("dependent_on"), F.length("claim_text").alias("parent_chars"), F.lit(True).alias("there"))
+    c = _claims(spark, sf_dir, "dependent_on", F.length("claim_text").alias("chars"))
+    p = c.select("doc_id", F.col("number").alias("dependent_on"), F.col("chars").alias("parent_chars"), F.lit(True).alias("there"))
     j = c.where("dependent_on is not null").join(p, ["doc_id", "dependent_on"], "left")
     return j.select("doc_id", "number", "dependent_on", "parent_chars", F.coalesce("there", F.lit(False)).alias("resolved"))
 
 
 def claim_chunks(spark, sf_dir):
-    return chunking.claim_chunks(_claims(spark, sf_dir))
+    return chunking.claim_chunks(_claims(spark, sf_dir, "claim_text"))
 
 
 def enriched_claims(spark, sf_dir):
-    c = claim_chunks(spark, sf_dir).join(_claims(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("number").alias("claim_number"), F.col("dependent_on").isNull().alias("independent")), ["document_id", "claim_number"])
-    p = _patents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "title", "cpc")
+    c = claim_chunks(spark, sf_dir).join(_claims(spark, sf_dir, "dependent_on").select(F.col("doc_id").alias("document_id"), F.col("number").alias("claim_number"), F.col("dependent_on").isNull().alias("independent")), ["document_id", "claim_number"])
+    p = _patents(spark, sf_dir, "title", "cpc").withColumnRenamed("doc_id", "document_id")
     text = chunking.enriched("text", "document_id", "title", "claim_number", "independent", "section", "cpc")
     return c.join(p, "document_id").select("document_id", "claim_number", documents.index_text(text, "text").alias("enriched"))
 
 
 def section_chunks(spark, sf_dir):
-    s = _sections(spark, sf_dir).select("section_id", F.array_join("paragraphs", "\n\n").alias("text"))
+    s = _sections(spark, sf_dir, F.array_join("paragraphs", "\n\n").alias("text"))
     return chunking.section_chunks(s, ["section_id"], "text", target=90)
 
 
@@ -136,8 +137,8 @@ def chunk_percentiles(spark, sf_dir):
 
 
 def compact_xml(spark, sf_dir):
-    p = _patents(spark, sf_dir).select("doc_id", "title", "abstract", tx.iso_date("publication_date").cast("string").alias("day"))
-    first = _claims(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("number"))).where("n <= 5")
+    p = _patents(spark, sf_dir, "title", "abstract", tx.iso_date("publication_date").cast("string").alias("day"))
+    first = _claims(spark, sf_dir, "claim_text").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("number"))).where("n <= 5")
     c = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", F.col("claim_text").alias("text")))).alias("claims"))
     j = p.join(c, "doc_id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<struct<number:int,text:string>>")))
     return j.select("doc_id", xml.compact_xml("doc_id", "title", "day", "abstract", "claims").alias("xml"))
@@ -148,8 +149,8 @@ def compact_xml_valid(spark, sf_dir):
 
 
 def index_rows(spark, sf_dir):
-    c = _claims(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_claims"))
-    p = _patents(spark, sf_dir).join(c, "doc_id", "left")
+    c = table(spark, sf_dir, "patent_claims").where("number is not null").select("doc_id", "number").distinct().groupBy("doc_id").agg(F.count("*").alias("n_claims"))
+    p = _patents(spark, sf_dir, "title", "cpc").join(c, "doc_id", "left")
     return p.select("doc_id", "title", F.array_join(F.slice("cpc", 1, 2), " ").alias("cpc"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
 
 
@@ -160,7 +161,7 @@ def named_parents(spark, sf_dir):
 
 
 def paragraph_budget(spark, sf_dir):
-    s = _sections(spark, sf_dir).select("doc_id", "ord", "section_id", F.posexplode("paragraphs").alias("pos", "text"))
+    s = _sections(spark, sf_dir, "doc_id", "ord", "paragraphs").select("doc_id", "ord", "section_id", F.posexplode("paragraphs").alias("pos", "text"))
     b = corpus.within_budget(s, "doc_id", ["ord", "section_id", "pos"], 6)
     return b.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ord").alias("last"))
 
