@@ -16,7 +16,7 @@ from sparkfolio.session import spread, table
 
 
 #: Titles up to this number go to all tasks, more of them to the texts by a shuffle.
-TITLES_SENT = 1_000_000
+TITLES_SENT = 600_000
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
