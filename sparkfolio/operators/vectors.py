@@ -117,17 +117,34 @@ def kmeans(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return c
 
 
-def ivf_topk(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, cells: int = 32, probes: int = 12) -> DataFrame:
+def probes_for(x: np.ndarray, centres: np.ndarray, k: int, recall: float, most: int = 400) -> int:
+    """Cells to look into so that the k nearest are found with `recall`, measured on the sample that the centres are from.
+
+    Of up to `most` rows of it, the true neighbours are looked up, and how far down the list of nearest cells their cells stand.
+    """
+    q = x[:: max(1, len(x) // most)]
+    order = np.argsort((centres**2).sum(1) - 2 * q @ centres.T, axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), axis=1)
+    own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+    near = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
+    depth = np.sort(np.take_along_axis(place, own[near], axis=1).reshape(-1))
+    return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+
+
+def ivf_topk(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, cells: int = 32, probes: int | None = None, recall: float = 0.95) -> DataFrame:
     """Rows (query_id, rank, key, score) from an index of inverted cells.
 
-    Every row is in the cell of its nearest centre, and a query looks into its `probes` nearest cells. Rows and queries meet by a join on the
-    cell, which the adaptive join splits where a cell is hot.
+    Every row is in the cell of its nearest centre, and a query looks into its `probes` nearest cells; without that number, into as many as
+    probes_for() finds to be needed for `recall`. Vectors without clusters need many. Rows and queries meet by a join on
+    the cell, which the adaptive join splits where a cell is hot.
     """
     x = _sample(base, vector)
     schema = T.StructType([T.StructField("query_id", queries.schema[key].dataType), T.StructField(key, base.schema[key].dataType), T.StructField("score", T.DoubleType())])
     if not len(x):
         return _global_top(base.sparkSession.createDataFrame([], schema), key, k)
     centres = kmeans(x, cells)
+    probes = probes or probes_for(x, centres, k, recall)
 
     def near(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

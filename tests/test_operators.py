@@ -134,7 +134,8 @@ def test_index_is_kept(spark, tmp_path):
 def test_indexes_reach_their_recall(spark):
     from sparkfolio.plans.retrieval import ann_recall
 
-    assert all(r.recall >= 0.9 for r in ann_recall(spark, "/root/testdata/sf0.01").collect())
+    for sf in ("sf0.01", "sf0.1"):
+        assert all(r.recall >= 0.9 for r in ann_recall(spark, f"/root/testdata/{sf}").collect())
 
 
 def test_guards(spark):
