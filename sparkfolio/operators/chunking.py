@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sparkfolio.functions.offsets import offset_map
 from sparkfolio.functions.text import col, estimate_tokens, stable_chunk_id
+from sparkfolio.session import bound_batches
 
 TARGET, OVERLAP = 180, 1
 _PIECE = re.compile(r"\w+|[^\w\s]")
@@ -79,7 +80,7 @@ def section_chunks(sections: DataFrame, keys: list[str], text: str, target: int
                 where = pa.array(at)
                 yield pa.RecordBatch.from_arrays([*(b.column(j).take(where) for j in range(n)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
 
-    return sections.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(sections).select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def claim_chunks(claims: DataFrame) -> DataFrame:

@@ -117,6 +117,11 @@ def length_histogram(df: DataFrame, value, bins: int = 30) -> DataFrame:
     return v.crossJoin(F.broadcast(ends)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def unexpected_keys(json_text, allowed: tuple[str, ...]) -> Column:
+    """Names of a JSON object that are not allowed; null for a text that is none."""
+    return F.array_except(F.json_object_keys(col(json_text)), F.array(*map(F.lit, allowed)))
+
+
 def constraint_errors(rules: dict[str, Column]) -> Column:
     """Names of the rules that a row breaks; a rule that is null for a row is broken."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))

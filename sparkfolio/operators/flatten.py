@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkfolio.session import bound_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -202,7 +204,7 @@ def flatten(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = INTAKE
             if at:
                 yield out()
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(df).select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 #: Schemas of the tables by tag, as far as a body is an object.

@@ -90,7 +90,7 @@ def scope_blocked(text, threshold: float = 0.28) -> Column:
 
 
 def level_of(levels: dict[str, int], name) -> Column:
-    """Level of a name; unknown and null ones have 0, as the reference semantics ask (an unknown document level fails open)."""
+    """Level of a name; unknown and null ones have 0 (an unknown document level fails open)."""
     out = F.lit(0)
     for k, v in levels.items():
         out = F.when(col(name) == k, v).otherwise(out)

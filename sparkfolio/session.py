@@ -23,6 +23,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if 2 * df.rdd.getNumPartitions() > want else df.repartition(want)
 
 
+#: Rows of texts that go to Python at once. Spark counts rows, not bytes, and its own default is sized for numbers.
+TEXT_ROWS = 2_000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """`df`, after its session's Arrow batches were bounded to TEXT_ROWS, unless the user chose a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 

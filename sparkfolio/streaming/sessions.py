@@ -16,7 +16,7 @@ def history(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, time: str, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Events per window and type, for streams and tables; late events are waited for. An extension: the reference has no windows."""
+    """Events per window and type, for streams and tables; late events are waited for. An extension."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
     return events.withWatermark(time, late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 

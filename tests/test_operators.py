@@ -150,6 +150,8 @@ def test_guards(spark):
     assert m.first().m.masked == "<EMAIL_ADDRESS_1> <EMAIL_ADDRESS_2>" and m.select(guards.unmask("m.masked", "m.mapping")).first()[0] == "a@b.org c@d.org"
     kinds = spark.createDataFrame([("DETAILED DESCRIPTION",), ("PRIORITY CLAIM",), ("What is claimed is",), (None,), (" Claims",)], "h string").select(documents.section_kind("h"))
     assert [r[0] for r in kinds.collect()] == ["detailed_description", "other", "claims", "other", "claims"]
+    odd = spark.createDataFrame([('{"a": 1, "b": 2}',), ("[]",)], "j string").select(documents.unexpected_keys("j", ("a",)))
+    assert [r[0] for r in odd.collect()] == [["b"], None]
     errors = documents.constraint_errors({"positive": F.col("n") > 0, "small": F.col("n") < 5})
     assert [r[0] for r in spark.createDataFrame([(3,), (9,), (None,)], "n int").select(errors).collect()] == [[], ["small"], ["positive", "small"]]
 
