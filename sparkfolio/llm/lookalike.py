@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.session import cut
+from sparkfolio.session import bound_batches, cut
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = dict(zip("аеорсхуіѕјһԁԛԝӏАВЕНІЈКМОРЅСТХУ", "aeopcxyisjhdqwlABEHIJKMOPSCTXY"))
@@ -152,7 +152,7 @@ def _odd_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.bool_(), *[pa.string()] * 4))]
                 yield pa.RecordBatch.from_arrays([*(b.column(j).take(pa.array(at)) for j in range(n)), *cols], names=schema.names)
 
-    return df.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(df).select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def _known(df: DataFrame, text: str, odd: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.bpe import blocks
-from sparkfolio.session import cut
+from sparkfolio.session import bound_batches, cut
 
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +172,7 @@ def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8,
     bands, rows = plan or band_plan(df.count(), least)
     registers = max(bands * rows, SKETCH)
     group = F.col(within).cast("string") if within else F.lit("")
-    base = df.select(group.alias("g"), *text_id(F.col(text)), F.col(text).alias("text")).where("text is not null")
+    base = bound_batches(df).select(group.alias("g"), *text_id(F.col(text)), F.col(text).alias("text")).where("text is not null")
     schema = T.StructType(
         [T.StructField("g", T.StringType()), T.StructField("h1", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
         + [T.StructField("keys", T.ArrayType(T.IntegerType(), False))]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.bpe import blocks
-from sparkfolio.session import cut
+from sparkfolio.session import bound_batches, cut
 
 # Glyphs that are taken for one another, (as it should read, as it is read).
 GLYPHS = [
@@ -137,7 +137,7 @@ def corpus_words(texts: DataFrame) -> DataFrame:
                     seen.clear()
         yield from out()
 
-    return texts.select("text").mapInArrow(run, schema)
+    return bound_batches(texts).select("text").mapInArrow(run, schema)
 
 
 def readings(word: str) -> list[str]:
