@@ -335,7 +335,7 @@ SQL = {
     "topic_document": " UNION ALL ".join(f"SELECT '{t}' AS topic, coalesce(min(doc_id), 'none') AS found FROM patents WHERE contains(lower(concat_ws(' ', title, abstract)), lower('{t}'))" for t in ("cross-modal", "Pump", "no such thing")),
     "numbers_in_claims": r"""SELECT claim_id, CAST(len(regexp_extract_all(claim_text, '\d[\d.,]*')) AS BIGINT) AS n, regexp_extract_all(claim_text, '\d[\d.,]*')[1] AS first,
     CAST(len([x FOR x IN string_split(claim_text, ' ') IF regexp_full_match(x, '\d[\d.,]*')]) AS BIGINT) AS alone FROM patent_claims""",
-    "box_sizes": "SELECT id, x1 - x0 AS width, y1 - y0 AS height, x1 >= x0 AS valid FROM (VALUES " + ", ".join(map(str, BOXES)) + ") AS t(id, x0, y0, x1, y1)",
+    "box_sizes": "SELECT id, CAST(x1 - x0 AS DOUBLE) AS width, CAST(y1 - y0 AS DOUBLE) AS height, x1 >= x0 AS valid FROM (VALUES " + ", ".join(map(str, BOXES)) + ") AS t(id, x0, y0, x1, y1)",
     "event_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
     "event_history": "SELECT user_id, count(*) AS n, md5(string_agg(event_type, ',' ORDER BY event_id)) AS digest FROM events WHERE user_id IS NOT NULL GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -328,7 +328,7 @@ def _scored(source: str, key: str, queries: str, part: str, k: int, name: str, w
 {p}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format('query')}) AS term FROM {queries}) GROUP BY 1, 2),
 {p}_m AS (SELECT query_id, key, qtf, tf, dl, df, n, avgdl, term FROM {p}_t JOIN {p}_q USING (term) JOIN {p}_f USING (term), {p}_s),
 {p}_g AS (SELECT query_id, key, round(sum({part.replace('@', p)}), 6) AS score FROM {p}_m GROUP BY 1, 2),
-{name} AS (SELECT query_id, rank, key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM {p}_g) WHERE rank <= {k})"""
+{name} AS (SELECT query_id, rank, key, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM {p}_g) WHERE rank <= {k})"""
 
 
 _BM25 = "qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"
@@ -342,19 +342,19 @@ def _top(part: str, k: int = 10, where: str = "TRUE", source: str = "documents",
 
 
 def _fused(a: str, b: str, key: str, wa: float, wb: float, keep: int, name: str) -> str:
-    return f"""{name} AS (SELECT query_id, rank, key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM (
+    return f"""{name} AS (SELECT query_id, rank, key, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM (
  SELECT query_id, key, round(sum(part), 9) AS score FROM (SELECT query_id, key, {wa} / (60 + rank) AS part FROM {a} UNION ALL SELECT query_id, key, {wb} / (60 + rank) FROM {b}) GROUP BY 1, 2)) WHERE rank <= {keep})"""
 
 
 _RUN = f"WITH {_Q}, {_scored('chunks', 'chunk_id', 'q', _BM25, 50, 'r')}"
 _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _KNN = """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({score}, 6) AS score FROM embeddings a, {base} b WHERE a.vec_id % 100 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 10"""
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 10"""
 _LABEL = "'[PATENT=' || document_id || CASE WHEN coalesce(section, '') <> '' THEN ' | SECTION=' || section ELSE '' END || CASE WHEN claim_number IS NOT NULL THEN ' | CLAIM=' || claim_number ELSE '' END || ' | CHUNK=' || chunk_id || ']'"
 _CONTEXT = f"""{_RUN}, c AS (SELECT r.query_id, r.rank, r.key AS chunk_id, c.document_id, c.text, c.section, c.claim_number, c.token_estimate AS tokens FROM r JOIN chunks c ON c.chunk_id = r.key WHERE rank <= 30),
 d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, left(text, 120) ORDER BY rank) = 1),
 e AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) <= 2),
-f AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM e),
+f AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position FROM e),
 g AS (SELECT * FROM f WHERE used <= 600 OR position = 1)"""
 _INT8 = """i AS (SELECT generate_subscripts(embedding, 1) AS d, unnest(embedding::DOUBLE[]) AS v FROM embeddings), m AS (SELECT d, min(v) AS lo, max(v) AS hi FROM i GROUP BY 1),
 mm AS (SELECT list(lo ORDER BY d) AS lo, list(hi ORDER BY d) AS hi FROM m),
@@ -386,23 +386,23 @@ SQL = {
     "bm25_okapi_topk": _top(_OKAPI),
     "tfidf_topk": _top(_TFIDF),
     "bm25_filled": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 10, 'r')}, a AS (SELECT query_id, key, score FROM r UNION ALL SELECT query_id, doc_id, 0.0 FROM q CROSS JOIN (SELECT DISTINCT doc_id FROM documents) d
-    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = q.query_id AND r.key = d.doc_id)), b AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, key AS doc_id, score FROM a) SELECT * FROM b WHERE rank <= 10""",
+    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = q.query_id AND r.key = d.doc_id)), b AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank, key AS doc_id, score FROM a) SELECT * FROM b WHERE rank <= 10""",
     "target_ranks": _RUN + """, t AS (SELECT o.query_id, chunk_id FROM (VALUES (1, 'US'), (2, 'EP')) AS o(query_id, office) JOIN chunks c ON left(c.document_id, 2) = o.office),
     h AS (SELECT r.query_id, rank, t.chunk_id IS NOT NULL AS hit FROM r LEFT JOIN t ON t.query_id = r.query_id AND t.chunk_id = r.key)
     SELECT q.query_id, min(rank) FILTER (WHERE hit) AS first, CASE WHEN count(rank) = 0 THEN NULL ELSE count(*) FILTER (WHERE hit AND rank <= 15) END AS n FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY 1""",
     "gold_in_corpus": "SELECT DISTINCT record_id AS query_id, c AS doc_id FROM (SELECT record_id, unnest(citations) AS c FROM patents) WHERE c IN (SELECT doc_id FROM patents)",
     "bm25_curves": "SELECT CAST(f AS INT) AS f, round(f * 2.5 / (f + 1.5), 6) AS saturation, round(0.25 + 0.75 * (f / 5.0), 6) AS penalty FROM range(0, 20) AS t(f)",
     "bm25_prefiltered": _top(_BM25, where="coalesce(lang = 'de', FALSE)"),
-    "bm25_postfiltered": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 30, 'r')}, k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, key AS doc_id, score
+    "bm25_postfiltered": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 30, 'r')}, k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank, key AS doc_id, score
     FROM r JOIN documents d ON d.doc_id = r.key WHERE d.lang = 'de') SELECT * FROM k WHERE rank <= 10""",
     "rrf_fusion": f"""WITH {_Q}, {_scored('documents', 'doc_id', 'q', _BM25, 40, 'a')}, {_scored('documents', 'doc_id', 'q', _TFIDF, 40, 'b')}, {_fused('a', 'b', 'doc_id', 1.0, 0.5, 10, 'x')}
     SELECT query_id, rank, key AS doc_id, score FROM x""",
     "chunk_run": _RUN + " SELECT query_id, rank, key AS chunk_id, score FROM r",
     "chunk_documents": _RUN + """, d AS (SELECT query_id, document_id, min(rank) AS first FROM r JOIN chunks c ON c.chunk_id = r.key GROUP BY 1, 2)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first, document_id) AS rank, document_id FROM d""",
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, document_id) AS INT) AS rank, document_id FROM d""",
     "chunk_rerank": _RUN + f""", s AS (SELECT r.query_id, r.key AS chunk_id, list_distinct({_TOK.format('query')}) AS a, list_distinct({_TOK.format('text')}) AS b FROM r JOIN chunks c ON c.chunk_id = r.key JOIN q USING (query_id) WHERE rank <= 30),
     t AS (SELECT query_id, chunk_id, round(len(list_intersect(a, b)) / len(a) + 0.1 * len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM s),
-    u AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM t) SELECT * FROM u WHERE rank <= 15""",
+    u AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, score FROM t) SELECT * FROM u WHERE rank <= 15""",
     "context_budget": _CONTEXT + " SELECT query_id, position, rank, chunk_id, document_id, tokens FROM g",
     "context_prompts": _CONTEXT + f""" SELECT query_id, 'Context:' || chr(10) || chr(10) || string_agg({_LABEL} || chr(10) || text, chr(10) || chr(10) ORDER BY position) || chr(10) || chr(10) || 'Question: ' || any_value(query) || chr(10) || 'Answer:' AS prompt
     FROM g JOIN q USING (query_id) GROUP BY query_id""",
@@ -420,18 +420,18 @@ SQL = {
     {_scored('chunks', 'chunk_id', 'q', _BM25, 50, 'a')}, {_scored('chunks', 'chunk_id', 'q', _TFIDF, 50, 'b')}, {_fused('a', 'b', 'chunk_id', 1.0, 1.0, 50, 'x')},
     u AS (SELECT 'bm25' AS config, * FROM a UNION ALL SELECT 'tfidf', * FROM b UNION ALL SELECT 'fused', * FROM x),
     v AS (SELECT config, query_id, document_id AS doc, min(rank) AS first FROM u JOIN chunks c ON c.chunk_id = u.key GROUP BY 1, 2, 3),
-    run AS (SELECT config, query_id, doc, row_number() OVER (PARTITION BY config, query_id ORDER BY first, doc) AS rank FROM v), {_METRICS.format(run='run', gold='q')}
+    run AS (SELECT config, query_id, doc, CAST(row_number() OVER (PARTITION BY config, query_id ORDER BY first, doc) AS INT) AS rank FROM v), {_METRICS.format(run='run', gold='q')}
     SELECT config, count(*) AS queries, round(avg(p_at_5), 6) AS p_at_5, round(avg(p_at_10), 6) AS p_at_10, round(avg(r_at_5), 6) AS r_at_5, round(avg(r_at_10), 6) AS r_at_10, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY 1""",
     "knn_dot": _KNN.format(score=_DOT, base="embeddings"),
     "knn_cosine": _KNN.format(score="list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", base="embeddings"),
     "knn_l2": _KNN.format(score="-(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2)", base="embeddings"),
     "knn_label_metrics": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
-    run AS (SELECT 'exact' AS config, * FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10),
+    run AS (SELECT 'exact' AS config, * FROM (SELECT query_id, doc, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INT) AS rank FROM s) WHERE rank <= 10),
     gold AS (SELECT a.vec_id AS query_id, b.vec_id AS doc, 1.0 AS gain FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0), {_METRICS.format(run='run', gold='gold')}
     SELECT config, query_id, round(p_at_5, 6) AS p_at_5, round(p_at_10, 6) AS p_at_10, round(r_at_5, 6) AS r_at_5, round(r_at_10, 6) AS r_at_10, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM m""",
     "int8_topk": f"WITH {_INT8}, " + _KNN.format(score="list_inner_product(a.embedding::DOUBLE[], b.embedding)", base="z")[5:],
     "int8_codes": f"WITH {_INT8} SELECT vec_id, CAST(list_sum(code) AS BIGINT) AS code_sum, round(list_max([abs(e[x] - embedding[x]) FOR x IN range(1, 65)]), 6) AS worst FROM z",
     "maxsim_topk": """WITH t AS (SELECT vec_id // 8 AS doc, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.doc AS query_id, a.vec_id, b.doc, max(list_cosine_similarity(a.e, b.e)) AS s FROM t a, t b WHERE a.doc % 100 = 0 GROUP BY 1, 2, 3),
-    s AS (SELECT query_id, doc, round(sum(s), 6) AS score FROM p GROUP BY 1, 2), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+    s AS (SELECT query_id, doc, round(sum(s), 6) AS score FROM p GROUP BY 1, 2), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INT) AS rank, doc, score FROM s) SELECT * FROM r WHERE rank <= 5""",
     "memory_report": """SELECT n, kind, round(CAST(n AS DOUBLE) * 384 * b / 1e9, 6) AS gb FROM (VALUES (1000::BIGINT), (1000000), (100000000)) AS t(n), (VALUES ('float32', 4.0), ('float16', 2.0), ('int8', 1.0), ('pq48', 0.125)) AS k(kind, b)""",
 }
