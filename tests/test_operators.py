@@ -210,6 +210,11 @@ def test_corpus(spark, tmp_path):
         corpus.read_corpus(spark, str(tmp_path), "EP*.json")
     lines = spark.createDataFrame([(1, 0, False, "p0"), (1, 1, True, " "), (1, 2, False, "p1"), (1, 3, True, "X"), (1, 4, True, "Y"), (1, 5, False, "p2")], "d int, o int, h boolean, t string")
     assert [(r.heading, r.t) for r in corpus.under_headings(lines, "d", "o", F.col("h"), "t").orderBy("o").collect()] == [("DESCRIPTION", "p0"), ("SECTION", "p1"), ("Y", "p2")]
+    paragraphs = spark.createDataFrame([(d, s, i) for d in (1, 2) for s in (0, 1) for i in range(3)], "d int, s int, i int")
+    kept = corpus.within_budget(paragraphs, "d", ["s", "i"], 4).collect()
+    assert len(kept) == 8 and max((r.s, r.i) for r in kept) == (1, 0)
+    found = spark.createDataFrame([(1, i, n) for i, n in enumerate(("US1B2", "US2A1", "EP3B1", "US4B1", "US5B2"))], "query_id int, position int, n string")
+    assert [r.n for r in corpus.accepted_numbers(found, "n", 2).orderBy("position").collect()] == ["US1B2", "US4B1"]
     calls = []
 
     def get(url):

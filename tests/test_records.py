@@ -5,6 +5,8 @@ import random
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sparkfolio.operators.flatten import INTAKE_RULES, _parse, _parse_deep, flatten, typed_table, visit, write_tables
 from sparkfolio.operators.hierarchy import circles, descendants, hierarchy
@@ -147,3 +149,21 @@ def test_deep_json(spark):
             _parse_deep(bad)
     df = spark.createDataFrame([(1, deep)], "record_id bigint, payload string")
     assert flatten(df, "record_id", "payload", payload=False).count() == 5001
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=20)
+
+
+@settings(max_examples=200, deadline=None)
+@given(VALUES, st.sampled_from([None, 1]))
+def test_deep_parser_is_the_library_parser(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert _parse_deep(text) == json.loads(text)
+    for cut in (text[:-1], text + "]", text + "x"):
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            with pytest.raises(ValueError):
+                _parse_deep(cut)
+        else:
+            assert _parse_deep(cut) == want
