@@ -53,8 +53,7 @@ def matches(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFra
     tokens = tokenize(text)
     base = docs.select(F.col(key), F.coalesce(F.size(tokens), F.lit(0)).alias("dl"), tokens.alias("tokens"))
     if len(terms) <= TERMS_INLINE:  # longer batches of queries keep all tokens and meet them in the join below
-        wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-        base = base.withColumn("tokens", F.filter("tokens", lambda t: F.array_contains(wanted, t)))
+        base = base.withColumn("tokens", F.filter("tokens", lambda t: t.isin(*terms) if terms else F.lit(False)))
     base = cut(base)
     stats = base.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     tf = base.select(key, "dl", F.explode("tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
