@@ -199,9 +199,10 @@ def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8,
     # one number for group, band and key
     place = place.select((F.shiftleft(F.col("band").cast("long"), 32) + F.pmod("k", F.lit(1 << 32))).bitwiseXOR(F.col("gh")).alias("key"), "h1")
     # keys of single texts go first; then the sketches come to what is left, so that chance meetings end in the join that finds them
-    met = cut(place.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "h1"))
+    # (copies are told apart here, where the rows are already together by key)
+    met = cut(place.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "h1").distinct())
     sketch = signed.select("g", "h1", "s1", "s2").distinct()
-    met = met.distinct().join(sketch, "h1")
+    met = met.join(sketch, "h1")
     a = met.select("key", "g", F.col("h1").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
     b = met.select("key", F.col("g").alias("g2"), F.col("h1").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
