@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfolio.llm import lookalike, names, neardup, scans, spam
 
@@ -251,3 +252,10 @@ def test_near_duplicates_with_another_plan(spark):
     df = spark.createDataFrame([(1, text), (2, text + " more words here"), (3, "other words altogether now")], "k int, t string")
     for plan in ((4, 2), (100, 4)):
         assert len(neardup.near_duplicates(df, "t", plan=plan).collect()) == 1
+
+
+def test_many_texts_are_verified_by_a_join(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "a b c d e f g")], "k int, t string").withColumn("s", F.lit("x"))
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    got = {(r.key_a, r.key_b) for r in neardup.duplicate_keys(df, "k", "t", 3, 0.5, "s").collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
