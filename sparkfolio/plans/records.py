@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio.operators.flatten import flatten, typed_table
 from sparkfolio.operators.hierarchy import circles, descendants, hierarchy
 from sparkfolio.operators.references import citation_references, claim_references, orphan_counts, orphan_references
-from sparkfolio.session import table
+from sparkfolio.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = descendants(_claim_trees(spark, sf_dir), "doc_id", "number")
+    """The SQL walks from roots only: it lacks the pairs of the claims on circles and below them, which come out here."""
+    d = descendants(cut(_claim_trees(spark, sf_dir)), "doc_id", "number", _claims(spark, sf_dir), "dependent_on", ("loaded_at", "claim_id"))
     return d.select("doc_id", F.col("number").cast("int"), F.col("descendant").cast("int"), F.col("distance").cast("int"))
 
 

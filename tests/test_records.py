@@ -96,6 +96,25 @@ def test_hierarchy_is_brute_force(spark, seed, part_rows):
         assert {x for x in rings if x[0] in ("ring", "self")} == {("ring", 0, i) for i in range(9)} | {("self", 1, 1)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_descendants_of_circles_are_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [("ring", i, (i + 1) % 9) for i in range(9)] + [("ring", 20 + i, 19 + i if i else 3) for i in range(21)] + [("self", 1, 1), ("self", 2, 1), ("self", 3, 2), ("open", 2, 1), ("open", 3, 2)]
+    rows += [("mix", i, rng.randrange(60)) for i in range(60)] + [("pair", 1, 2), ("pair", 2, 1), ("pair", 3, 2), ("pair", 5, None), (None, 1, 1)]
+    up = {(g, n): p for g, n, p in rows if g is not None}
+    want = set()
+    for g, n in up:
+        x, distance, seen = n, 0, {n}
+        while (g, up.get((g, x))) in up and up[g, x] not in seen:
+            x, distance = up[g, x], distance + 1
+            seen.add(x)
+            want.add((g, x, n, distance))
+    df = spark.createDataFrame(rows + rows[:9], "g string, n int, p int")
+    got = [tuple(r) for r in descendants(hierarchy(df, "g", "n", "p", part_rows=20), "g", "n", df, "p").collect()]
+    # an absent parent is no node, so it has no descendants
+    assert sorted(got) == sorted(w for w in want if (w[0], w[1]) in up)
+
+
 def test_hierarchy_of_nothing(spark):
     tree = hierarchy(spark.createDataFrame([], "g string, n int, p int"), "g", "n", "p")
     assert tree.count() == 0 and descendants(tree, "g", "n").count() == 0
