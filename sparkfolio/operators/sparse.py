@@ -1,7 +1,7 @@
 """Inverted index, TF-IDF and BM25 for batches of queries.
 
 Documents are tokenised once; only tokens that some query asks for leave the scan, so what is shuffled grows with the hits, not with the
-corpus. Statistics (documents, mean length, document frequency) are over all documents, empty ones included.
+corpus. Statistics (documents, mean length, document frequency, mean idf) are over all documents, empty ones included.
 """
 
 from __future__ import annotations
@@ -77,13 +77,14 @@ def bm25_idf(variant: str = "plus"):
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, idf: str = "plus") -> DataFrame:
     """Rows (query_id, rank, key, score) of the k best documents of each query by BM25.
 
-    Only documents that share a term with the query are ranked. idf "okapi": a negative idf is replaced by a quarter of the mean idf of the
-    query terms found, as the common library does over its vocabulary.
+    Only documents that share a term with the query are ranked. idf "okapi": a negative idf is replaced by a quarter of the mean idf of all
+    terms of the documents, as the common library does; that takes a second pass, over the whole vocabulary.
     """
     m = matches(docs, key, text, queries)
     w = bm25_idf(idf)
     if idf == "okapi":
-        mean = m.select("term", "n", "df").distinct().agg(F.avg(w).alias("mean_idf"))
+        n = docs.agg(F.count("*").alias("n"))
+        mean = document_frequency(docs, key, text).crossJoin(F.broadcast(n)).agg(F.avg(w).alias("mean_idf"))
         m = m.crossJoin(F.broadcast(mean))
         w = F.when(w < 0, 0.25 * F.col("mean_idf")).otherwise(w)
     length = 1 - b + b * F.col("dl") / F.col("avgdl")

@@ -72,6 +72,7 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_okapi_topk(spark, sf_dir):
+    """The SQL takes the mean idf over the query terms only; here it is over all terms, so the scores of common terms differ."""
     return sparse.bm25(_docs(spark, sf_dir), "doc_id", "text", asked(spark), idf="okapi")
 
 

@@ -34,6 +34,20 @@ def test_sparse(spark, mini):
     assert sparse.bm25(mini.where("1 = 0"), "id", "text", q, 5).count() == 0
 
 
+def test_okapi_takes_the_mean_idf_of_the_whole_vocabulary(spark):
+    texts = ["a pump", "a valve seal", "a rotor", "cam gear", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ask = lambda *q: {r.id: r.score for r in sparse.bm25(docs, "id", "text", spark.createDataFrame([*enumerate(q)], "query_id int, query string"), idf="okapi").where("query_id = 0").collect()}
+    df = {"a": 3, "pump": 1, "valve": 1, "seal": 1, "rotor": 1, "cam": 1, "gear": 1}
+    idf = {t: np.log((5 - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    assert idf["a"] < 0
+    weight = 0.25 * sum(idf.values()) / len(idf)
+    avgdl = 9 / 5
+    want = {i: weight * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl)) for i, dl in ((0, 2), (1, 3), (2, 2))}
+    assert ask("a") == pytest.approx(want, abs=1e-6)
+    assert ask("a") == ask("a", "cam pump") == ask("a", "a")
+
+
 def test_many_query_terms_are_joined(spark, mini, monkeypatch):
     q = spark.createDataFrame([(1, "vector search")], "query_id int, query string")
     want = sparse.bm25(mini, "id", "text", q).collect()
