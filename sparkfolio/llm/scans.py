@@ -1,8 +1,8 @@
 """Text from scanned pages to continuous, readable paragraphs.
 
 Four faults are repaired: words divided at line ends, misread letters, running headers and page numbers. The corpus itself says
-what a word is: skip-gram vectors are learned from all of it, rare words are linked to far more frequent ones from which plausible
-confusions of glyphs lead to them, and each place is corrected by its context. Then the furniture of the pages is taken out and the lines
+what a word is: skip-gram vectors are learned from all of it, rare words are linked to far more frequent ones with like vectors from which
+plausible confusions of glyphs lead to them, and at each place the word competes with its corrections by its context. Then the furniture of the pages is taken out and the lines
 flow together.
 """
 
@@ -31,8 +31,13 @@ GLYPHS = [
 #: Accents that a scan loses count as glyphs too; but a word must be this much rarer than its correction, with a figure among its
 #: letters or without.
 RARER, RARER_WITH_FIGURE = 12, 2
-#: A place is left as it is if its context speaks this much against the correction (mean logit of the context under the word).
-AGAINST = -4.0
+#: A place is left as it is if its context speaks this much more for the word than for the correction (mean logits of the context under both).
+AGAINST = -2.5
+#: A word seen m times is linked to a correction if their vectors' cosine is at least 1 - UNLIKE / (1 + SURER (m - 1)): the more often a word is seen,
+#: the more alike the vectors of a misreading and of its correction are.
+UNLIKE, SURER = 0.8, 0.09
+#: Every word is given so many contexts of the usual kind besides its own, so that a word seen once doesn't speak for itself by that one place.
+USUAL = 8
 #: Context words fall into so many buckets; vectors have so many dimensions.
 BUCKETS, DIMENSIONS = 256, 32
 #: Up to so many suspects are sent to all tasks; beyond it all words are joined with the suspects instead.
@@ -161,7 +166,7 @@ def readings(word: str) -> list[str]:
 
 
 def suspects(vocabulary: DataFrame) -> DataFrame:
-    """Rows (word, fix, n): rare words and the far more frequent words that they may be misreadings of. `vocabulary`: word, n."""
+    """Rows (word, fix, n, m): rare words, seen m times, and the far more frequent words that they may be misreadings of. `vocabulary`: word, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,11 +178,33 @@ def suspects(vocabulary: DataFrame) -> DataFrame:
     tried = vocabulary.select("word", "n").mapInArrow(run, "word string, m bigint, fix string")
     figure = F.col("word").rlike("[0-9]") & ~F.col("fix").rlike("[0-9]")
     enough = F.col("n") >= F.col("m") * F.when(figure, RARER_WITH_FIGURE).otherwise(RARER)
-    return tried.join(vocabulary.select(F.col("word").alias("fix"), "n"), "fix").where(enough & (F.col("n") > 3)).select("word", "fix", "n")
+    return tried.join(vocabulary.select(F.col("word").alias("fix"), "n"), "fix").where(enough & (F.col("n") > 3)).select("word", "fix", "n", "m")
 
 
-def skip_gram_vectors(contexts: DataFrame, negatives: int = 5, steps: int = 60) -> DataFrame:
-    """Rows (word, vector) of skip-gram with negative sampling, from rows (word, bucket, n) of counts.
+def linked(doubted: DataFrame, stats: DataFrame) -> DataFrame:
+    """Rows (word, fix, n, vector) of the suspects whose vector is like that of their correction; vector: the correction's less the word's.
+
+    Vectors are learned for both. If either has no context anywhere, nothing speaks against the link and vector is null.
+    """
+    words = doubted.select("word").union(doubted.select("fix")).distinct()
+    counts = stats.join(words, "word", "left_semi").select("word", F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
+    counts = cut(counts.groupBy("word", F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n")))
+    usual = np.zeros(BUCKETS)
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS at most
+        usual[r.bucket] = r.n
+    vectors = cut(skip_gram_vectors(counts, usual=usual * USUAL / max(1, usual.sum())))
+
+    def dot(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    both = doubted.join(vectors.select("word", F.col("vector").alias("own")), "word", "left").join(vectors.select(F.col("word").alias("fix"), "vector"), "fix", "left")
+    like = dot("own", "vector") / F.sqrt(dot("own", "own") * dot("vector", "vector"))
+    kept = both.where(F.coalesce(like >= 1 - UNLIKE / (1 + SURER * (F.col("m") - 1)), F.lit(True)))
+    return kept.select("word", "fix", "n", F.zip_with("vector", "own", lambda x, y: x - y).alias("vector"))
+
+
+def skip_gram_vectors(contexts: DataFrame, negatives: int = 5, steps: int = 60, usual: np.ndarray | float = 0.0) -> DataFrame:
+    """Rows (word, vector) of skip-gram with negative sampling, from rows (word, bucket, n) of counts; `usual` is added to each word's counts.
 
     The context buckets have fixed random vectors, so the loss of a word depends on its own vector only and is convex: the words
     are learned side by side, each from its counts over the whole corpus, by gradient steps over the expected loss.
@@ -191,6 +218,7 @@ def skip_gram_vectors(contexts: DataFrame, negatives: int = 5, steps: int = 60)
             x = np.zeros((len(b), BUCKETS))
             for i, (bs, ns) in enumerate(zip(b["buckets"], b["counts"])):
                 x[i, np.asarray(bs, int)] = ns
+            x += usual
             x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
             u = np.zeros((len(b), DIMENSIONS))
             for _ in range(steps):
@@ -362,7 +390,7 @@ def scan_faults(texts: DataFrame, keys: list[str]) -> DataFrame:
     """
     stats = cut(corpus_words(texts))
     vocabulary = cut(stats.groupBy("word").agg(F.sum("n").alias("n")))
-    doubted = cut(suspects(vocabulary))
+    doubted = cut(linked(cut(suspects(vocabulary)), stats))
     few = doubted.select("word").distinct().count() <= SENT
     known = frozenset(r.word for r in doubted.select("word").distinct().collect()) if few else None
     faults = cut(page_faults(texts, keys, known))
@@ -373,21 +401,16 @@ def scan_faults(texts: DataFrame, keys: list[str]) -> DataFrame:
         joints = joints.join(vocabulary.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
     whole = F.when(F.coalesce("n_other", F.lit(0)) > F.coalesce("n_item", F.lit(0)), F.col("other")).otherwise(F.col("item"))
     joints = joints.select(*keys, F.lit("hyphenation").alias("defect"), whole.alias("item"), F.lit(None).cast("string").alias("seen"))
-    words = corrected(faults.where("kind = 'word'").select(*keys, F.col("item").alias("word"), "near"), keys, doubted, stats)
+    words = corrected(faults.where("kind = 'word'").select(*keys, F.col("item").alias("word"), "near"), keys, doubted)
     return lines.unionByName(joints).unionByName(words).distinct()
 
 
-def corrected(places: DataFrame, keys: list[str], doubted: DataFrame, stats: DataFrame) -> DataFrame:
-    """Rows (keys, defect, item, seen): for each place of a doubted word the correction that its context speaks for most.
+def corrected(places: DataFrame, keys: list[str], doubted: DataFrame) -> DataFrame:
+    """Rows (keys, defect, item, seen): for each place of a doubted word the correction that its context speaks for most, if one beats the word.
 
-    The score of a correction is the mean logit of the context under its vector plus the logarithm of its count, so that a frequent
-    word needs less support.
+    The support of a correction is the mean logit of the context under its vector, less that under the word's own; the word stands where
+    it is AGAINST or less. Among the others the logarithm of the count is added, so that a frequent word needs less support.
     """
-    fixes = doubted.select(F.col("fix").alias("word")).distinct()
-    counts = stats.join(fixes, "word", "left_semi").select("word", F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
-    counts = counts.groupBy("word", F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
-    vectors = cut(skip_gram_vectors(counts))
-    options = doubted.join(vectors.select(F.col("word").alias("fix"), "vector"), "fix", "left")
     r = bucket_vectors()
     shape = T.StructType([places.schema[k] for k in keys] + list(T.StructType.fromDDL("word string, near array<int>, fix string, score double, support double")))
 
@@ -399,9 +422,9 @@ def corrected(places: DataFrame, keys: list[str], doubted: DataFrame, stats: Dat
             b["score"] = b["support"] + np.log(b["n"].astype(float))
             yield b[shape.names]
 
-    scored = places.join(options, "word").select(*keys, "word", "near", "fix", "n", "vector").mapInPandas(run, shape)
-    best = scored.groupBy(*keys, "word", "near").agg(F.max_by(F.struct("fix", "support"), F.struct("score", "fix")).alias("b"))
-    return best.where(F.col("b.support") > AGAINST).select(*keys, F.lit("misread").alias("defect"), F.col("b.fix").alias("item"), F.col("word").alias("seen"))
+    scored = places.join(doubted, "word").select(*keys, "word", "near", "fix", "n", "vector").mapInPandas(run, shape)
+    best = scored.where(F.col("support") > AGAINST).groupBy(*keys, "word", "near").agg(F.max_by("fix", F.struct("score", "fix")).alias("fix"))
+    return best.select(*keys, F.lit("misread").alias("defect"), F.col("fix").alias("item"), F.col("word").alias("seen"))
 
 
 def reflowed(texts: DataFrame, keys: list[str]) -> DataFrame:

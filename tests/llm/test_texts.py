@@ -232,6 +232,18 @@ def test_scans(spark):
     assert scans.scan_faults(df.where("1 = 0"), ["src", "rec_key"]).count() == 0
 
 
+def test_a_valid_rare_word_stands_by_its_contexts(spark):
+    rng = random.Random(3)
+    ours, theirs = "pump valve rotor seal piston motor gear shaft".split(), "glass filler ceramic polymer resin necklace".split()
+    rows = [(f"h{i}", " ".join(f"{rng.choice(ours)} head {rng.choice(ours)}" for _ in range(8))) for i in range(60)]
+    rows += [(f"g{i}", " ".join(f"{rng.choice(theirs)} {rng.choice(theirs)}" for _ in range(8))) for i in range(60)]
+    rows += [(f"b{i}", f"{theirs[i % 6]} bead {theirs[(i * 5 + 1) % 6]}") for i in range(24)]  # one glyph from head, a twentieth as often
+    rows += [("m", "pump hcad valve")]  # a misreading among head's own neighbours
+    df = spark.createDataFrame([("s", *r, None) for r in rows], "src string, rec_key string, text string, title string")
+    got = {(r.rec_key, r.item) for r in scans.scan_faults(df, ["src", "rec_key"]).collect()}
+    assert got == {("m", "head")}
+
+
 def test_many_suspects_are_joined_not_sent(spark, monkeypatch):
     df = spark.createDataFrame([("s", *r) for r in scanned_rows()], "src string, rec_key string, text string, title string")
     want = set(map(tuple, scans.scan_faults(df, ["src", "rec_key"]).collect()))
