@@ -7,6 +7,7 @@ tag, and each tag's table is read back with its own schema.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -128,9 +129,7 @@ def visit(record: dict, rules: tuple[Rule, ...] = INTAKE_RULES) -> Iterator[tupl
     Null elements give nothing, but keep their place in the count; a lone value in place of an array is element 0; a null field
     is no element. An explicit stack holds what is still to be walked, so depth has no limit.
     """
-    below: dict[str, dict[str, str]] = {}
-    for r in rules:
-        below.setdefault(r.under, {})[r.field] = r.tag
+    below = _below(rules)
     todo: list[tuple[str, str, str, int, object]] = [("", "", "", 0, record)]
     while todo:
         tag, path, parent, depth, element = todo.pop()
@@ -150,16 +149,46 @@ def visit(record: dict, rules: tuple[Rule, ...] = INTAKE_RULES) -> Iterator[tupl
         todo.extend(reversed(found))
 
 
-def _payload(element: object) -> str:
-    """The element's own scalar fields as JSON; children are rows of their own."""
-    if isinstance(element, dict):
-        return json.dumps({k: v for k, v in element.items() if not isinstance(v, (dict, list))}, ensure_ascii=False)
-    return json.dumps(element, ensure_ascii=False) if not isinstance(element, list) else "[]"
+def _below(rules: tuple[Rule, ...]) -> dict[str, dict[str, str]]:
+    """Field to tag of the child rows, by the tag of the parent."""
+    below: dict[str, dict[str, str]] = {}
+    for r in rules:
+        below.setdefault(r.under, {})[r.field] = r.tag
+    return below
+
+
+def _name(field: str) -> str:
+    return field.translate({ord(c): f"\\{c}" for c in "\\.["})
+
 
+def _payload(element: object, children: dict[str, str] | None = None) -> str:
+    """The element's own scalars as JSON, without the fields that `children` makes rows of their own.
 
-def flatten(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = INTAKE_RULES, payload: bool = True) -> DataFrame:
+    Of an object or array these are all scalars at any depth by their path, such as `address.city` or `tags[0]`; a dot, bracket or backslash in
+    a name has a backslash before it. The walk has an explicit stack.
+    """
+    if not isinstance(element, (dict, list)):
+        return json.dumps(element, ensure_ascii=False)
+    own = {k: v for k, v in element.items() if k not in children} if children and isinstance(element, dict) else element
+    flat: dict[str, object] = {}
+    todo: list[tuple[str, object]] = [("", own)]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{path}.{_name(k)}" if path else _name(k), v) for k, v in reversed(x.items())]
+        elif isinstance(x, list):
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(x)))]
+        else:
+            flat[path] = x
+    return json.dumps(flat, ensure_ascii=False)
+
+
+def flatten(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = INTAKE_RULES, payload: bool = True, root: str = "") -> DataFrame:
     """Rows (key, child_kind, node_path, parent_path, node_depth[, body]) of the JSON texts of `df`.
 
+    The body has the element's own scalars; see _payload(). With `root` the record itself is a row of that kind, with the paths '' and depth 0;
+    then every scalar of a text is in one body.
+
     Null, empty and broken texts and texts that are no JSON object give no rows, as do null elements. Repeated names in an
     object: the last counts. A repeated row gives its rows again, a null key is kept. Columns other than `key` and `text` are
     not read, so their names cannot clash. One pass, no shuffle.
@@ -172,6 +201,7 @@ def flatten(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = INTAKE
         T.StructField("node_depth", T.IntegerType(), False),
     ] + ([T.StructField("body", T.StringType())] if payload else [])
     schema = T.StructType(fields)
+    below = _below(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,9 +222,11 @@ def flatten(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = INTAKE
                     continue
                 if not isinstance(record, dict):
                     continue
-                for tag, path, parent, depth, element in visit(record, rules):
+                top = [(root, "", "", 0, record)] if root else []
+                for tag, path, parent, depth, element in itertools.chain(top, visit(record, rules)):
                     at.append(i)
-                    for c, v in zip(cols, (tag, path, parent, depth, _payload(element) if payload else None)):
+                    children = below.get(tag if path else "")
+                    for c, v in zip(cols, (tag, path, parent, depth, _payload(element, children) if payload else None)):
                         c.append(v)
                     if len(at) >= 20_000:
                         yield out()
@@ -207,14 +239,15 @@ def flatten(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = INTAKE
     return bound_batches(df).select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-#: Schemas of the tables by tag, as far as a body is an object.
+#: Columns of the tables by tag, as (column, type, paths in the body, the first that has a value counts); the path '' is a lone value.
 TABLES = {
-    "assignee": "name string",
-    "contact": "type string, value string",
-    "claim": "number string, text string, dependent_on int, dependentOn int",
-    "limitation": "text string, label string",
-    "section": "heading string",
-    "paragraph": None,
+    "record": (("doc_id", "string", ("doc_id",)), ("title", "string", ("title",)), ("source_provider", "string", ("source.provider",)), ("source_note", "string", ("source.note",))),
+    "assignee": (("name", "string", ("name", "")), ("address_city", "string", ("address.city",)), ("address_country", "string", ("address.country",))),
+    "contact": (("type", "string", ("type",)), ("value", "string", ("value",))),
+    "claim": (("number", "int", ("number",)), ("text", "string", ("text",)), ("dependent_on", "int", ("dependent_on", "dependentOn"))),
+    "limitation": (("text", "string", ("text",)), ("label", "string", ("label",))),
+    "section": (("heading", "string", ("heading",)),),
+    "paragraph": (("text", "string", ("",)),),
 }
 
 
@@ -224,18 +257,23 @@ def write_tables(flat: DataFrame, folder: str) -> None:
 
 
 def typed_table(flat: DataFrame, tag: str) -> DataFrame:
-    """The table of one tag with its own columns; from a data set partitioned by tag only its folder is read."""
+    """The table of one tag with its own columns; from a data set partitioned by tag only its folder is read.
+
+    What no column holds, because its name isn't known or its value isn't of the column's type, is in `rest`, a JSON object of texts by path, null
+    if there is nothing; so every scalar of a body comes out once. Null values are left out.
+    """
     rows = flat.where(F.col("child_kind") == tag)
     keep = [c for c in rows.columns if c not in ("child_kind", "body")]
-    shape = TABLES[tag]
-    text = F.from_json(F.concat(F.lit('{"v":'), F.col("body"), F.lit("}")), "v string")["v"]
-    if shape is None:
-        return rows.select(*keep, text.alias("text"))
-    parsed = rows.withColumn("__b", F.from_json(F.when(F.col("body").startswith("{"), F.col("body")), shape))
-    names = [x.split()[0] for x in shape.split(", ")]
-    cols = [F.col("__b")[n].alias(n) for n in names]
-    if tag == "claim":
-        cols = [F.expr("try_cast(__b.number as int)").alias("number"), F.col("__b.text").alias("text"), F.coalesce("__b.dependent_on", "__b.dependentOn").alias("dependent_on")]
-    if tag == "assignee":  # an assignee may be a lone name
-        cols = [F.coalesce(F.col("__b.name"), F.when(~F.col("body").startswith("{"), text)).alias("name")]
-    return parsed.select(*keep, *cols)
+    lone = F.create_map(F.lit(""), F.from_json(F.concat(F.lit('{"v":'), F.col("body"), F.lit("}")), "v string")["v"])
+    rows = rows.withColumn("__m", F.when(F.col("body").startswith("{"), F.from_json("body", "map<string,string>")).otherwise(lone))
+    cols, held = [], []
+    for name, kind, paths in TABLES[tag]:
+        values = [F.col("__m")[p].try_cast(kind) for p in paths]
+        cols.append(F.coalesce(*values).alias(name))
+        for i, p in enumerate(paths):
+            first = values[i].isNotNull()
+            for v in values[:i]:
+                first &= v.isNull()
+            held.append(F.when(first, F.lit(p)))
+    rest = F.map_filter("__m", lambda k, v: v.isNotNull() & ~F.array_contains(F.array_compact(F.array(*held)), k))
+    return rows.select(*keep, *cols, F.when(F.size(rest) > 0, F.to_json(rest)).alias("rest"))

@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p3_table(tag: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return typed_table(flatten(table(spark, sf_dir, "patent_intake"), "record_id", "payload"), tag)
+        return typed_table(flatten(table(spark, sf_dir, "patent_intake"), "record_id", "payload", root="record"), tag)
 
     return query
 
@@ -56,7 +56,7 @@ def p5_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p5_found, p5_descendants, p5_circles)}
-QUERIES |= {f"p3_{t}s": _p3_table(t) for t in ("assignee", "contact", "claim", "limitation", "section", "paragraph")}
+QUERIES |= {f"p3_{t}s": _p3_table(t) for t in ("record", "assignee", "contact", "claim", "limitation", "section", "paragraph")}
 
 _P1 = r"""
 WITH c AS (SELECT doc_id, number, min(loaded_at) AS born, min(cancelled_at) AS gone FROM patent_claims

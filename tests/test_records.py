@@ -158,6 +158,32 @@ def test_flatten(spark, tmp_path):
     assert flatten(df.where("1 = 0"), "record_id", "payload").count() == 0
 
 
+def scalars(x):
+    if isinstance(x, (dict, list)):
+        return [s for v in (x.values() if isinstance(x, dict) else x) for s in scalars(v)]
+    return [] if x is None else [str(x)]
+
+
+def test_every_scalar_comes_out_once(spark):
+    record = RECORD | {
+        "title": "T", "source": {"provider": "P", "note": None}, "more": {"a.b": "dot", "a": {"b": ["l0", {"c": "l1"}]}},
+        "claims": ["lone claim", {"number": "no number", "text": "ct", "dependent_on": 4, "dependentOn": 5, "limitations": "ll"}, ["in", "array"]],
+        "assignees": ["N", {"name": "M", "address": {"city": "C", "country": "D"}, "contacts": {"type": "a", "value": "b"}}],
+        "description": [{"heading": "H", "paragraphs": ["p", {"x": "obj"}]}],
+    }
+    df = spark.createDataFrame([(1, json.dumps(record))], "record_id bigint, payload string")
+    flat = flatten(df, "record_id", "payload", root="record")
+    out, tables = [], {}
+    for tag in ("record", "assignee", "contact", "claim", "limitation", "section", "paragraph"):
+        tables[tag] = [r.asDict() for r in typed_table(flat, tag).collect()]
+        for r in tables[tag]:
+            out += [str(v) for k, v in r.items() if v is not None and k not in ("record_id", "node_path", "parent_path", "node_depth", "rest")]
+            out += json.loads(r["rest"] or "{}").values()
+    assert sorted(out) == sorted(scalars(record))
+    assert [(r["address_city"], r["address_country"]) for r in tables["assignee"]] == [(None, None), ("C", "D")]
+    assert [(r["doc_id"], r["title"], r["source_provider"], r["node_path"]) for r in tables["record"]] == [("X", "T", "P", "")]
+
+
 def test_deep_json(spark):
     deep = '{"claims":' + '[{"limitations":' + '[{"sub":' * 5000 + "[]" + "}]" * 5000 + "}]}"
     assert len(list(visit(_parse(deep), INTAKE_RULES))) == 5001
