@@ -145,40 +145,46 @@ def corpus_words(texts: DataFrame) -> DataFrame:
     return bound_batches(texts).select("text").mapInArrow(run, schema)
 
 
-def readings(word: str) -> list[str]:
-    """The words from which one or two confusions of glyphs lead to `word`."""
-    one = set()
-    for true, read in GLYPHS:
+def _unread(word: str, glyphs: list[tuple[str, str]]) -> Iterator[str]:
+    """The word with one of the glyphs put right, at each place in turn."""
+    for true, read in glyphs:
         at = word.find(read)
         while at >= 0:
-            one.add(word[:at] + true + word[at + len(read) :])
+            yield word[:at] + true + word[at + len(read) :]
             at = word.find(read, at + 1)
-    if len(word) > 14 or not any(map(str.isdigit, word)):
-        return sorted(one - {word})
-    two = set()
-    for w in one:
+
+
+def readings(word: str) -> Iterator[str]:
+    """The words from which one confusion of glyphs leads to `word`, or two if it has a figure; then one of them is among the first ten. Some come twice."""
+    for w in _unread(word, GLYPHS):
+        yield w
         if any(map(str.isdigit, w)):
-            for true, read in GLYPHS[:10]:
-                at = w.find(read)
-                if at >= 0:
-                    two.add(w[:at] + true + w[at + len(read) :])
-    return sorted((one | two) - {word})
+            yield from (x for x in _unread(w, GLYPHS[:10]) if x != word)
 
 
 def suspects(vocabulary: DataFrame) -> DataFrame:
     """Rows (word, fix, n, m): rare words, seen m times, and the far more frequent words that they may be misreadings of. `vocabulary`: word, n."""
 
+    def out(rows: dict[tuple, None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["word", "m", "fix"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, n, r) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) < 60 for r in readings(w)]
-            for i in range(0, len(rows), 50_000):
-                cols = zip(*rows[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()))], names=["word", "m", "fix"])
+            rows, letters = {}, 0  # a dictionary for its order: readings that come twice are one
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for r in readings(w):
+                    rows[w, n, r] = None
+                    letters += len(r)
+                    if len(rows) >= 50_000 or letters > 5_000_000:  # a long word has many readings
+                        yield out(rows)
+                        rows, letters = {}, 0
+            if rows:
+                yield out(rows)
 
     tried = vocabulary.select("word", "n").mapInArrow(run, "word string, m bigint, fix string")
     figure = F.col("word").rlike("[0-9]") & ~F.col("fix").rlike("[0-9]")
     enough = F.col("n") >= F.col("m") * F.when(figure, RARER_WITH_FIGURE).otherwise(RARER)
-    return tried.join(vocabulary.select(F.col("word").alias("fix"), "n"), "fix").where(enough & (F.col("n") > 3)).select("word", "fix", "n", "m")
+    return tried.join(vocabulary.select(F.col("word").alias("fix"), "n"), "fix").where(enough & (F.col("n") > 3)).select("word", "fix", "n", "m").distinct()
 
 
 def linked(doubted: DataFrame, stats: DataFrame) -> DataFrame:

@@ -244,6 +244,14 @@ def test_a_valid_rare_word_stands_by_its_contexts(spark):
     assert got == {("m", "head")}
 
 
+def test_long_words_and_all_places_are_tried(spark):
+    for word, read in (("configurational", "c0nfigurati0nal"), ("0xideofoam", "0xide0f0am"), ("n" * 70 + "o", "n" * 70 + "0")):
+        assert word in scans.readings(read)
+    vocabulary = spark.createDataFrame([("configurational", 50), ("c0nfigurati0nal", 1), ("m" * 70, 50), ("m" * 69 + "rn", 1)], "word string, n bigint")
+    got = {(r.word, r.fix) for r in scans.suspects(vocabulary).collect()}
+    assert got == {("c0nfigurati0nal", "configurational"), ("m" * 69 + "rn", "m" * 70)}
+
+
 def test_many_suspects_are_joined_not_sent(spark, monkeypatch):
     df = spark.createDataFrame([("s", *r) for r in scanned_rows()], "src string, rec_key string, text string, title string")
     want = set(map(tuple, scans.scan_faults(df, ["src", "rec_key"]).collect()))
