@@ -74,6 +74,15 @@ def test_fusion(spark):
     assert keys(fusion.documents_of(fused, "id", chunks), "document_id") == ["d1", "d2"]
 
 
+def test_recall_of_contexts_takes_the_whole_list(spark, tmp_path):
+    from sparkfolio.plans.checks import context_metrics
+
+    rows = [(1, ["US1", "US2", "EP1", None, "US3"]), (2, ["EP1"]), (3, []), (4, None)]
+    spark.createDataFrame(rows, "record_id bigint, citations array<string>").write.parquet(f"{tmp_path}/patents.parquet")
+    got = {r.record_id: (r.precision, r.recall) for r in context_metrics(spark, str(tmp_path)).collect()}
+    assert got == {1: (0.75, 1.0), 2: (0.0, 1.0), 3: (0.0, 1.0)}
+
+
 def test_metrics(spark):
     run = spark.createDataFrame([("c", 1, i + 1, x) for i, x in enumerate("ABCDE")], "config string, query_id int, rank int, doc string")
     gold = spark.createDataFrame([(1, "B", 1.0), (1, "D", 1.0), (2, "Z", 2.0)], "query_id int, doc string, gain double")
