@@ -71,11 +71,11 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_spam(spread(table(spark, sf_dir, "documents")))
+    return find_spam(spread(table(spark, sf_dir, "documents")), lang="lang", known=())
 
 
 def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_features(spread(table(spark, sf_dir, "documents")))
+    return spam_features(spread(table(spark, sf_dir, "documents")), lang="lang", known=())
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_text, p4_found, p6_found, p7_found, p7_text, p8_ids, p9_containers, p10_found, p10_features)}
