@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.bpe import blocks
-from sparkfolio.session import bound_batches
+from sparkfolio.session import bound_batches, cut
 
 # Words that carry grammar rather than a topic, by language, for collections too small to learn them from.
 # "en" and "pas" are left out: they are as common in the phrases of shops as in sentences.
@@ -54,16 +54,18 @@ def _marks() -> str:
 _M = _marks()
 #: Scripts that are written without blanks: each sign, or each two letters, is a term. Hiragana in Japanese mark grammar by themselves.
 _SIGNS, _DENSE = "㐀-鿿豈-﫿\U00020000-\U0003ffff", "฀-໿က-႟ក-៿"
-_LETTER = f"[^\\W_ぁ-ゖ{_SIGNS}{_DENSE}{_M}]"
 #: Words of a link or tag count as one term, as does the markup of a link; other markup is none. What parts items or sentences is a term of its own.
-_TERM = re.compile(
-    r"<a\s[^<>]*>|</?[a-z][^<>]*>|(?:https?://|www\.)[^\s|<>\"')\]]+|(?:[^\W_]+(?:-[^\W_]+)*\.)+[^\W\d_]{2,}(?:/[^\s|<>\"')\]]*)?|#[^\W_][\w-]*|[ぁ-ゖ]+"
-    rf"|[{_SIGNS}]|(?:[{_DENSE}][{_M}]*){{1,2}}|{_LETTER}(?:{_LETTER}|[{_M}])*(?:[-'’]{_LETTER}(?:{_LETTER}|[{_M}])*)*|\n|[.!?](?=\s|$)|[。！？।؟]|[,;|>/•·»«、，；]|\s[–—-]\s"
-)
+_LINKS = r"<a\s[^<>]*>|</?[a-z][^<>]*>|(?:https?://|www\.)[^\s|<>\"')\]]+|(?:[^\W_]+(?:-[^\W_]+)*\.)+[^\W\d_]{2,}(?:/[^\s|<>\"')\]]*)?|#[^\W_][\w-]*"
+_MARKS = r"[\n,;|>/•·»«、，；।]|[.!?](?=\s|$)|[。！？؟]|\s[–—-]\s"
+_SPACED = re.compile(rf"{_LINKS}|[^\W_]+(?:[-'’][^\W_]+)*|{_MARKS}")
+_WORD = rf"(?:[^\W_ぁ-ゖ{_SIGNS}{_DENSE}]+[{_M}]*)+"
+_TERM = re.compile(rf"{_LINKS}|[ぁ-ゖ]+|[{_SIGNS}]|(?:[{_DENSE}][{_M}]*){{1,2}}|{_WORD}(?:[-'’]{_WORD})*|{_MARKS}")
 _LINK, _TAG, _FUNC, _KANA, _NUMBER, _PART, _STOP, _MARKUP, _UNSPACED = range(1, 10)
 
 #: Terms on either side over which the share of function words is taken; share up to which a place is a list, not a sentence.
 REACH, THIN = 7, 0.07
+#: Items of up to so many terms are phrases of their own.
+PHRASE = 3
 #: Shifts at which a text is laid over itself.
 LAGS = 24
 #: Listed terms in a stretch over which they are counted as distinct.
@@ -96,6 +98,11 @@ def _kind(term: str, grammar: frozenset[str]) -> int:
     return _NUMBER if c.isdigit() else 0
 
 
+def _pattern(text: str) -> re.Pattern[str]:
+    """The faster pattern where no letter can be of those that the other one is for."""
+    return _SPACED if text.isascii() or not text or max(text) < "\u0300" else _TERM
+
+
 class Terms:
     """Numbers the terms of texts; kinds[number] says what a term is. `grammar`: the words that carry grammar."""
 
@@ -110,7 +117,8 @@ class Terms:
     def codes(self, text: str) -> list[int]:
         out = []
         code = self.code
-        for t in _TERM.findall(text.lower()):
+        text = text.lower()
+        for t in _pattern(text).findall(text):
             n = code.get(t)
             if n is None:
                 n = code[t] = len(code)
@@ -165,7 +173,7 @@ def grammar_words(df: DataFrame, text: str = "text", lang: str | None = None) ->
 
     label = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     seen = df.select(label.alias("lang"), F.col(text).cast("string").alias("__text")).mapInArrow(run, "lang string, word string, w double, d bigint")
-    seen = seen.groupBy("lang", "word").agg(F.sum("w").alias("w"), F.sum("d").alias("d"))
+    seen = cut(seen.groupBy("lang", "word").agg(F.sum("w").alias("w"), F.sum("d").alias("d")))
     texts = seen.where("word is null").select(F.col("lang").alias("__l"), F.col("w").alias("n")).where(F.col("n") >= LEAST_TEXTS)
     share = seen.where("word is not null").join(texts, F.col("lang").eqNullSafe(F.col("__l")))
     share = share.select("lang", "word", (F.col("w") / F.col("n")).alias("share"), (F.col("d") / F.col("n")).alias("spread"))
@@ -202,7 +210,14 @@ def features(texts: list[str | None], terms: Terms) -> dict[str, np.ndarray]:
     start = np.cumsum(n) - n
     place = np.arange(total) - start[doc]
 
-    grammar = np.concatenate([[0], np.cumsum((kind == _FUNC) | (kind == _KANA))])
+    # an item is a run of terms of one text between two marks
+    first = np.ones(total, bool)
+    first[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])
+    number = np.cumsum(first) - 1
+    length = np.bincount(number, minlength=1)
+    # in the shortest items a word of grammar belongs to a phrase ("in stock")
+    clause = length[number] > PHRASE
+    grammar = np.concatenate([[0], np.cumsum(((kind == _FUNC) | (kind == _KANA)) & clause)])
     lo = np.maximum(place - REACH, 0) + start[doc]
     hi = np.minimum(place + REACH + 1, n[doc]) + start[doc]
     thin = (grammar[hi] - grammar[lo]) <= THIN * (hi - lo)
@@ -242,11 +257,6 @@ def features(texts: list[str | None], terms: Terms) -> dict[str, np.ndarray]:
     new = np.ones(len(seen), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
     distinct = np.bincount(a[new], minlength=len(lists)).astype(float)
-    # an item is a run of terms of one text between two marks
-    first = np.ones(total, bool)
-    first[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])
-    number = np.cumsum(first) - 1
-    length = np.bincount(number, minlength=1)
     bare = np.bincount(number, weights=thin, minlength=1) if total else np.zeros(1)
     of = doc[first]
     long = ends[item[first]] & (length[: len(of)] >= LONG) & (length[: len(of)] <= ENDLESS) if total else np.empty(0, bool)
