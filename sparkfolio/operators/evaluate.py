@@ -115,9 +115,9 @@ def present_gold(gold: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
 
 def judge_score(text) -> Column:
-    """The number `score` of the first JSON object in a judge's reply; 0 if there is none."""
+    """The number `score` of the first JSON object in a judge's reply; 0 if there is none. Any number of JSON counts, with exponents too."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_to_number(F.get_json_object(F.when(found != "", found), "$.score"), F.lit("S999.999")).cast("double"), F.lit(0.0))
+    return F.coalesce(F.get_json_object(F.when(found != "", found), "$.score").try_cast("double"), F.lit(0.0))
 
 
 def index_recall(approximate: DataFrame, exact: DataFrame, key: str) -> DataFrame:
@@ -127,6 +127,14 @@ def index_recall(approximate: DataFrame, exact: DataFrame, key: str) -> DataFram
     return n.join(both, "query_id", "left").select("query_id", F.when(F.col("wanted") == 0, 1.0).otherwise(F.coalesce("common", F.lit(0)) / F.col("wanted")).alias("recall"))
 
 
-def latency_percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows (group, n, p50, p95) with linear interpolation between the nearest values."""
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
+def latency_percentiles(df: DataFrame, group: str, value: str, accuracy: int | None = None) -> DataFrame:
+    """Rows (group, n, p50, p95) with linear interpolation between the nearest values.
+
+    The exact percentiles keep the distinct values of a group together. `accuracy`: take values of a sketch instead, whose ranks are off by n / accuracy
+    at most and whose size doesn't grow with the group.
+    """
+    if accuracy:
+        p = [F.percentile_approx(value, q, accuracy).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))]
+    else:
+        p = [F.round(F.percentile(value, F.lit(q)), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))]
+    return df.groupBy(group).agg(F.count(value).alias("n"), *p)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions.text import collapse, html_meta, html_text, html_title
 
-WORDS = "path string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, conf double"
+WORDS = "path string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, conf double, error string"
 #: (bytes, path) -> rows (page, text, x0, y0, x1, y1, conf); conf is null where the extractor has none.
 Extractor = Callable[[bytes, str], list[tuple]]
 
@@ -22,7 +22,10 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
 
 
 def words(files: DataFrame, extractor: Callable[[], Extractor]) -> DataFrame:
-    """Rows of WORDS from binary files; extractor() is called once per task (a PDF or OCR library). Files that it cannot read give no rows."""
+    """Rows of WORDS from binary files; extractor() is called once per task (a PDF or OCR library).
+
+    A file that it cannot read gives one row with the error and nothing else; `error` is null in all others.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = extractor()
@@ -31,18 +34,19 @@ def words(files: DataFrame, extractor: Callable[[], Extractor]) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 try:
                     got = read(content, path)
-                except Exception:
+                except Exception as e:
+                    rows.append((path, *[None] * 8, f"{type(e).__name__}: {e}"))
                     continue
-                rows += [(path, w[0], i, *w[1:]) for i, w in enumerate(got)]
-            yield pd.DataFrame(rows, columns=["path", "page", "seq", "text", "x0", "y0", "x1", "y1", "conf"])
+                rows += [(path, w[0], i, *w[1:], None) for i, w in enumerate(got)]
+            yield pd.DataFrame(rows, columns=["path", "page", "seq", "text", "x0", "y0", "x1", "y1", "conf", "error"])
 
     return files.select("path", "content").mapInPandas(run, WORDS)
 
 
 def page_texts(found: DataFrame) -> DataFrame:
-    """Rows (path, page, n_words, text): the words of each page in order."""
+    """Rows (path, page, n_words, text): the words of each page in order; files that could not be read have none."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]), " ")
-    return found.groupBy("path", "page").agg(F.count("*").alias("n_words"), text.alias("text"))
+    return found.where("page is not null").groupBy("path", "page").agg(F.count("*").alias("n_words"), text.alias("text"))
 
 
 def images(files: DataFrame, renderer: Callable[[], Callable[[bytes], list[tuple[int, bytes, str]]]]) -> DataFrame:

@@ -78,14 +78,17 @@ def xpath(xml, expression: str) -> Column:
 
 
 def node_paths(xml) -> Column:
-    """Array of (path, text) of all elements with text: a path leads back to its node by xpath()."""
+    """Array of (path, text) of all elements with text: a path leads back to its node by xpath(). Null and malformed texts have none."""
 
     @F.pandas_udf("array<struct<path:string,text:string>>")
     def paths(s: pd.Series) -> pd.Series:
         def one(x: str | None) -> list[dict]:
             if not x:
                 return []
-            out, todo = [], [(ET.fromstring(x), "")]
+            try:
+                out, todo = [], [(ET.fromstring(x), "")]
+            except ET.ParseError:
+                return []
             while todo:
                 e, at = todo.pop()
                 name = e.tag.rpartition("}")[2]

@@ -1,5 +1,6 @@
 """Search, fusion, metrics, contexts, guards, agents, formats, stages and streams on literals."""
 
+import json
 import random
 
 import numpy as np
@@ -183,16 +184,54 @@ def test_agent(spark):
     chunks = spark.createDataFrame([("c1", "US10000001A1", "s", None, "a valve for a pump"), ("c2", "US10000002A1", "Claims", 1, "The valve of claim 1")], "chunk_id string, document_id string, section string, claim_number int, text string")
     patents = spark.createDataFrame([("US10000001A1", "Valve", "abs", ["F16K1/1"], "2020-01-01"), ("US10000002A1", "Pump", "", None, None)], "doc_id string, title string, abstract string, cpc array<string>, publication_date string")
     tools = agent.search_tools(chunks, patents)
-    steps = agent.run(tools, "Classify US10000001A1, which claim names a valve?")
-    assert [s.tool for s in steps] == ["fetch_patent", "lookup_classification", "search_claims", "retrieve_passages"] and all(s.error is None for s in steps)
-    assert steps[0].result[0]["title"] == "Valve" and steps[1].result[0]["cpc"] == ["F16K1/1"] and steps[2].result[0]["chunk_id"] == "c2"
-    assert tools.call("fetch_patent", {"publication_number": "US99999999A1"}).first().error == "not found"
-    assert [r.title for r in tools.call("search_patents", {"query": "valve pump"}).collect()] == ["Valve", "Pump"]
-    with pytest.raises(ValueError):
-        tools.call("search_patents", {"query": "x", "top_k": 999})
-    assert agent.trajectory(spark, "r", steps).count() == 4 and agent.run(tools, "?")[-1].error
+    q = [(1, "Classify US10000001A1, which claim names a valve?", "researcher"), (2, "?", "researcher"), (3, "CPC of US99999999A1", "guest"), (4, None, "guest")]
+    q = spark.createDataFrame(q, "query_id int, query string, role string")
+    steps = agent.trajectories(tools, q.drop("role"), F.lit("researcher"))
+    assert steps.count() == 8
+    got = {(r.query_id, r.step): r for r in steps.collect()}
+    assert [got[1, i].tool for i in range(4)] == ["fetch_patent", "lookup_classification", "search_claims", "retrieve_passages"]
+    found = {i: json.loads(got[1, i].result) for i in range(4)}
+    assert found[0][0]["title"] == "Valve" and found[1][0]["cpc"] == ["F16K1/1"] and found[2][0]["chunk_id"] == "c2" and len(found[3]) == 2
+    assert got[2, 0].decision == "invalid_arguments" and got[2, 0].result is None
+    assert json.loads(got[3, 0].result)[0]["error"] == "not found"
+    guest = {(r.query_id, r.tool): r.decision for r in agent.trajectories(tools, q.drop("role"), F.lit("guest")).collect()}
+    assert guest[3, "lookup_classification"] == "insufficient_permission" and guest[3, "fetch_patent"] == ""
+    few = {r.tool: r.decision for r in agent.trajectories({"fetch_patent": tools["fetch_patent"]}, q.drop("role"), F.lit("admin")).collect()}
+    assert few["search_claims"] == "tool_not_allowlisted" and few["fetch_patent"] == ""
+    calls = spark.createDataFrame([("a", "valve pump", None, 5), ("b", "pump", None, 1)], "call_id string, query string, publication_number string, top_k int")
+    assert [(r.call_id, r.title) for r in tools["search_patents"](calls).orderBy("call_id", "place").collect()] == [("a", "Valve"), ("a", "Pump"), ("b", "Valve")]
+    wrong = spark.createDataFrame([(1, 0, "fetch_patent", "q", "nonsense", 1)], "query_id int, step int, tool string, query string, publication_number string, top_k int")
+    assert agent.decisions(wrong, F.lit("admin")).first().decision == "invalid_arguments"
+    assert agent.trajectories({}, q.drop("role"), F.lit("admin")).where("result is not null").count() == 0
+
+
+def test_loop():
     state, way = agent.loop(0, {"add": lambda s: s + 1}, lambda at, s: "add" if s < 3 else None, "add")
     assert state == 3 and way == ["add"] * 3
+    nodes = {"ask": lambda s: {"said": ["q"], "turn": s["turn"] + 1}, "answer": lambda s: {"said": [s["turn"]]}}
+    edges = {"ask": "answer", "answer": None}
+    add = {"said": lambda old, new: old + new}
+    state, way = agent.loop({"said": [], "turn": 0}, nodes, lambda at, s: edges[at], "ask", merge=add)
+    assert state == {"said": ["q", 1], "turn": 1} and way == ["ask", "answer"]
+    with pytest.raises(agent.Paused) as p:
+        agent.loop({"said": [], "turn": 0}, nodes, lambda at, s: edges[at], "ask", merge=add, pause=("answer",))
+    changed = {**p.value.state, "turn": 7}
+    assert agent.loop(changed, nodes, lambda at, s: edges[at], p.value.at, merge=add, way=p.value.way) == ({"said": ["q", 7], "turn": 7}, ["ask", "answer"])
+    with pytest.raises(RuntimeError):
+        agent.loop(0, {"a": lambda s: s}, lambda at, s: "a", "a", most=3)
+
+
+def test_judges_take_any_number(spark):
+    replies = [('{"score": 0.8754}', 0.8754), ('so {"score": 1200} it is', 1200.0), ('{"score": 1.5e-3}', 0.0015), ('{"score": -2}', -2.0), ('{"score": "x"}', 0.0), ("{broken", 0.0), (None, 0.0)]
+    df = spark.createDataFrame(replies, "reply string, want double").withColumn("got", evaluate.judge_score(F.col("reply")))
+    assert all(r.got == r.want for r in df.collect())
+
+
+def test_approximate_percentiles(spark):
+    df = spark.range(1001).selectExpr("'a' as g", "cast(id as double) as v")
+    assert evaluate.latency_percentiles(df, "g", "v").first()[:] == ("a", 1001, 500.0, 950.0)
+    r = evaluate.latency_percentiles(df, "g", "v", accuracy=1000).first()
+    assert abs(r.p50 - 500) <= 2 and abs(r.p95 - 950) <= 2
 
 
 def test_pipeline(spark):
@@ -216,6 +255,8 @@ def test_xml(spark, tmp_path):
     st96 = '<?xml version="1.0"?><pat:P xmlns:pat="p" xmlns:com="c" com:st96Version="V8_0"><pat:PublicationNumber> 12 </pat:PublicationNumber><pat:Claim><a>x\n y</a> <b>z</b></pat:Claim><pat:Claim/></pat:P>'
     (tmp_path / "a.xml").write_text(st96)
     b = xml.bibliography(xml.read_xml(spark, str(tmp_path))).withColumn("claims", xml.claims_of("xml")).withColumn("paths", xml.node_paths("xml")).first()
+    odd = spark.createDataFrame([("<a><b",), (None,), ("",), ("<a>x</a>",)], "x string").select(F.size(xml.node_paths("x")).alias("n"))
+    assert sorted(r.n for r in odd.collect()) == [0, 0, 0, 1]
     assert (b.publication_number, b.title, b.st96_version, b.claims) == ("12", None, "V8_0", ["x y z"])
     back = spark.createDataFrame([(b.xml,)], "x string")
     assert all(back.select(F.trim(xml.xpath("x", p.path + "/text()")[0])).first()[0] == p.text for p in b.paths)
@@ -261,6 +302,7 @@ def test_pages(spark, tmp_path):
 
     w = pages.words(pages.read_binary(spark, str(tmp_path)), extractor)
     assert [r.text for r in pages.page_preview(w).collect()] == ["one", "two"]
+    assert all(r.error.startswith("ZeroDivisionError") for r in w.where("page is null").collect()) and w.where("page is not null and error is not null").count() == 0
     s = pages.ocr_summary(w).first()
     assert (s.n_words, s.mean_conf, s.least) == (2, 89.5, ["two", "one"])
     assert pages.page_texts(w).select("page", "n_words", "text").collect()[0][:] == (0, 2, "one two")
