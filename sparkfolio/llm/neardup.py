@@ -3,7 +3,7 @@
 A text is the bag of its runs of consecutive words. BagMinHash draws, for each run, Poisson processes over the discretised
 levels of its weight; points of a level belong to every bag whose weight reaches it, so two bags share the points of the smaller
 weight. The earliest point in each register is a signature whose registers agree with the probability of the weighted Jaccard
-likeness. Bands of registers bring texts together, a sketch of one bit per register drops chance meetings,
+likeness. Bands of registers bring texts together, sketches of a bit and of two bits per register drop chance meetings,
 and what is left is verified exactly.
 """
 
@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.bpe import blocks
+from sparkfolio.llm.classes import components
 from sparkfolio.session import bound_batches, cut
 
 _WORD = re.compile(r"[^\W_]+")
@@ -28,8 +29,12 @@ _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 #: Likeness of texts that have nothing to do with each other, as measured on patent texts; chance meetings per text and band that are
 #: borne; and the share of pairs at the threshold that may meet in no band.
 CHANCE, MEETINGS, MISSED = 0.01, 4, 0.00165
-#: The sketch takes one bit of each of the first SKETCH registers; so many are drawn at least.
+#: The sketches take bits of each of the first SKETCH registers; so many are drawn at least.
 SKETCH = 128
+#: A task remembers up to so many texts that it has signed, so that it signs copies once.
+SIGNED = 1_000_000
+#: Texts under one key that are compared with one another in one place; more of them are split into blocks, and each pair of blocks is a place.
+BLOCK = 2_000
 
 
 def band_plan(texts: int, least: float) -> tuple[int, int]:
@@ -145,16 +150,17 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def bit_sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bit of each of the first 128 registers, as two 64-bit numbers."""
-    b = (_mix(sig[:, :SKETCH].view(np.uint64)) >> np.uint64(63)).astype(np.uint8)
-    packed = np.ascontiguousarray(np.packbits(b, axis=1)).view(np.int64)
-    return packed[:, 0], packed[:, 1]
+def bit_sketch(sig: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 128 registers, as two 64-bit numbers, and two other bits of each, as four."""
+    x = _mix(sig[:, :SKETCH].view(np.uint64))
+    one = np.packbits((x >> np.uint64(63)).astype(np.uint8), axis=1)
+    two = np.packbits(np.stack([(x >> np.uint64(61)).astype(np.uint8) & 1, (x >> np.uint64(62)).astype(np.uint8) & 1], axis=2).reshape(len(sig), -1), axis=1)
+    return np.ascontiguousarray(np.concatenate([one, two], axis=1)).view(np.int64)
 
 
-def agreeing_bits(least: float) -> int:
-    """Bits of the sketch that agree at likeness `least`, less 3.5 deviations: fewer agree once in 4,000 such pairs."""
-    p = (1 + least) / 2
+def agreeing(least: float, bits: int) -> int:
+    """Registers of a sketch that agree in their bits at likeness `least`, less 3.5 deviations: fewer agree once in 4,000 such pairs."""
+    p = least + (1 - least) / 2**bits
     return int(SKETCH * p - 3.5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
@@ -166,48 +172,68 @@ def near_duplicates(df: DataFrame, text: str, size: int = 5, least: float = 0.8,
     `within`: a column; only texts with the same value of it are compared, and it is in the result. `plan`: see band_plan().
 
     Null and empty texts and texts of fewer than `size` words have no runs and are in no pair. Repeated rows count once.
-    Other columns are not read. A band's texts are paired by a sort-merge join, which spills; nothing is gathered per key. Keys
-    of single texts are dropped before it.
+    Other columns are not read. Copies of a text leave a task once. Keys are counted with a combining aggregate, and those of single texts are
+    dropped; a key that very many texts share is split into blocks, so that no place compares more than BLOCK texts with BLOCK others. All pairs
+    of different texts under a key are compared by their sketches, none is left out.
     """
     bands, rows = plan or band_plan(df.count(), least)
     registers = max(bands * rows, SKETCH)
     group = F.col(within).cast("string") if within else F.lit("")
     base = bound_batches(df).select(group.alias("g"), *text_id(F.col(text)), F.col(text).alias("text")).where("text is not null")
+    sketches = ["s1", "s2", "t1", "t2", "t3", "t4"]
     schema = T.StructType(
-        [T.StructField("g", T.StringType()), T.StructField("h1", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
-        + [T.StructField("keys", T.ArrayType(T.IntegerType(), False))]
+        [T.StructField("g", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("h1", *sketches)), T.StructField("keys", T.ArrayType(T.IntegerType(), False))]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
+        known: set[tuple] = set()
         for b in batches:
+            ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             for s in blocks(b.column(2), 3_000_000):
-                texts = b.column(2)[s.start : s.stop].to_pylist()
-                doc, run, times = shingles.bags(texts)
+                if len(known) > SIGNED:
+                    known.clear()
+                new = [i for i in range(s.start, s.stop) if not (ids[i] in known or known.add(ids[i]))]
+                doc, run, times = shingles.bags(b.column(2).take(pa.array(new, pa.int64())).to_pylist())
                 has = np.unique(doc)
                 if not len(has):
                     continue
                 number = np.searchsorted(has, doc)
                 sig = bag_minhash(number, run, times if bag else np.ones(len(times), np.int64), len(has), registers)
-                s1, s2 = bit_sketch(sig)
+                bits = bit_sketch(sig)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(band_keys(sig, bands, rows).reshape(-1)))
-                at = pa.array(has + s.start)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(s1), pa.array(s2), keys], names=schema.names)
+                at = pa.array(np.array(new, np.int64)[has])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(bits[:, i]) for i in range(6)), keys], names=schema.names)
 
     signed = cut(base.select("g", "h1", "text").mapInArrow(sign, schema))
     place = signed.select(F.xxhash64("g").alias("gh"), "h1", F.posexplode("keys").alias("band", "k"))
     # one number for group, band and key
     place = place.select((F.shiftleft(F.col("band").cast("long"), 32) + F.pmod("k", F.lit(1 << 32))).bitwiseXOR(F.col("gh")).alias("key"), "h1")
     # keys of single texts go first; then the sketches come to what is left, so that chance meetings end in the join that finds them
-    # (copies are told apart here, where the rows are already together by key)
-    met = cut(place.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "h1").distinct())
-    sketch = signed.select("g", "h1", "s1", "s2").distinct()
-    met = met.join(sketch, "h1")
-    a = met.select("key", "g", F.col("h1").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    b = met.select("key", F.col("g").alias("g2"), F.col("h1").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    shared = place.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(place.join(shared, "key").select("key", "h1", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct())
+    sketch = signed.select("g", "h1", "s1", "s2").dropDuplicates(["g", "h1"])
+    met = met.join(sketch, "h1").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
+    zero, last = F.lit(0), F.col("blocks") - 1
+    a = met.select("key", "g", F.col("h1").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("block").alias("lo"), F.explode(F.sequence("block", last)).alias("hi"))
+    b = met.select("key", F.col("g").alias("g2"), F.col("h1").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.explode(F.sequence(zero, "block")).alias("lo"), F.col("block").alias("hi"))
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    likely = cut(a.join(b, "key").where("a < b and g = g2").where(SKETCH - apart >= agreeing_bits(least)).select("g", "a", "b").distinct())
-    return _verified(base, likely, size, least, bag, within)
+    likely = a.join(b, ["key", "lo", "hi"]).where("(lo < hi or a < b) and a <> b and g = g2").where(SKETCH - apart >= agreeing(least, 1))
+    likely = likely.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verified(base, cut(_likelier(likely, signed, least)), size, least, bag, within)
+
+
+def _likelier(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """The pairs that agree in the sketches of two bits too."""
+    names = ["t1", "t2", "t3", "t4"]
+    bits = signed.select("g", "h1", *names).dropDuplicates(["g", "h1"])
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select("g", F.col("h1").alias(side), *(F.col(c).alias(f"{side}{c}") for c in names)), ["g", side])
+    apart = F.lit(0)
+    for c in names:
+        x = F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return pairs.where(SKETCH - apart >= agreeing(least, 2)).select("g", "a", "b")
 
 
 def _verified(base: DataFrame, pairs: DataFrame, size: int, least: float, bag: bool, within: str | None) -> DataFrame:
@@ -250,15 +276,21 @@ def text_id(text) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
+def _members(df: DataFrame, key: str, text: str, size: int, within: str) -> tuple[DataFrame, DataFrame]:
+    """(rows (within, k, t), members (within, k, h1, h2)) of texts that have a run of `size` words."""
+    rows = df.select(F.col(within), F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    words = F.col("t").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (size - 1))  # stops at the first run
+    return rows, cut(rows.where(words).select(within, "k", *text_id(F.col("t"))).distinct())
+
+
 def duplicate_keys(df: DataFrame, key: str, text: str, size: int, least: float, within: str, bag: bool = False) -> DataFrame:
     """Distinct rows (within, key_a, key_b): all pairs of different keys with texts of a likeness of at least `least`.
 
     Exact copies are found by their hashes and near ones by near_duplicates(); key_a is the smaller by code points. A key
-    with several texts is in a pair if one of them is. Null keys are in none.
+    with several texts is in a pair if one of them is. Null keys are in none. The result grows with the square of a group of copies: where
+    that is not asked for, duplicate_classes() says the same with a row for each key.
     """
-    rows = df.select(F.col(within), F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    words = F.col("t").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (size - 1))  # stops at the first run
-    members = cut(rows.where(words).select(within, "k", *text_id(F.col("t"))).distinct())
+    rows, members = _members(df, key, text, size, within)
     a = members.select(within, F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), F.col("k").alias("ka"))
     b = members.select(within, F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), F.col("k").alias("kb"))
     near = near_duplicates(rows, "t", size, least, bag, within)
@@ -266,3 +298,28 @@ def duplicate_keys(df: DataFrame, key: str, text: str, size: int, least: float,
     same = members.join(members.withColumnRenamed("k", "kb"), [within, "h1", "h2"]).where("k < kb")
     pairs = near.select(within, "ka", "kb").unionByName(same.select(within, F.col("k").alias("ka"), "kb")).where("ka <> kb")
     return pairs.select(within, F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+
+
+def duplicate_classes(df: DataFrame, key: str, text: str, within: str, size: int = 5, least: float = 0.8, bag: bool = True) -> DataFrame:
+    """Rows (within, key, class_id, links), one per key with a text of at least `size` words.
+
+    Keys are in one class if a chain of texts of a likeness of at least `least`, or of exact copies, leads from one to the other; class_id is its
+    smallest key. links: how many different texts are that like to the texts of the key; copies are no links. A key with several texts links
+    their classes. Null keys and shorter texts are left out.
+    """
+    rows, members = _members(df, key, text, size, within)
+    near = cut(near_duplicates(rows, "t", size, least, bag, within))
+
+    def node(kind: str, *cols: str):
+        return F.concat_ws(":", F.lit(kind), F.col(within), *[F.col(c).cast("string") for c in cols])
+
+    # a key hangs on its texts, a text on those that are like it; keys come before texts, so the smallest node of a class is its smallest key
+    hung = members.select(node("k", "k").alias("a"), node("t", "h1", "h2").alias("b"))
+    liked = near.select(node("t", "h1_a", "h2_a").alias("a"), node("t", "h1_b", "h2_b").alias("b"))
+    classes = components(hung.union(liked)).where(F.col("node").startswith("k:"))
+    both = near.select(within, F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2")).unionByName(near.select(within, F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")))
+    linked = both.groupBy(within, "h1", "h2").agg(F.count("*").alias("links"))
+    links = members.join(linked, [within, "h1", "h2"], "left").groupBy(within, "k").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    start = F.length(within) + 4
+    out = links.withColumn("node", node("k", "k")).join(classes, "node")
+    return out.select(within, F.col("k").alias(key), F.substring("least", start, F.length("least")).alias("class_id"), "links")
