@@ -310,16 +310,17 @@ def duplicate_classes(df: DataFrame, key: str, text: str, within: str, size: int
     rows, members = _members(df, key, text, size, within)
     near = cut(near_duplicates(rows, "t", size, least, bag, within))
 
-    def node(kind: str, *cols: str):
-        return F.concat_ws(":", F.lit(kind), F.col(within), *[F.col(c).cast("string") for c in cols])
-
-    # a key hangs on its texts, a text on those that are like it; keys come before texts, so the smallest node of a class is its smallest key
-    hung = members.select(node("k", "k").alias("a"), node("t", "h1", "h2").alias("b"))
-    liked = near.select(node("t", "h1_a", "h2_a").alias("a"), node("t", "h1_b", "h2_b").alias("b"))
-    classes = components(hung.union(liked)).where(F.col("node").startswith("k:"))
-    both = near.select(within, F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2")).unionByName(near.select(within, F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")))
-    linked = both.groupBy(within, "h1", "h2").agg(F.count("*").alias("links"))
-    links = members.join(linked, [within, "h1", "h2"], "left").groupBy(within, "k").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
-    start = F.length(within) + 4
-    out = links.withColumn("node", node("k", "k")).join(classes, "node")
-    return out.select(within, F.col("k").alias(key), F.substring("least", start, F.length("least")).alias("class_id"), "links")
+    def node(h1: str, h2: str):
+        return F.struct(F.col(within).alias("w"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))
+
+    # only texts that are like others, or whose key has others, take part in the search for classes; all others stand alone
+    a, b = node("h1_a", "h2_a"), node("h1_b", "h2_b")
+    members = members.select(within, "k", node("h1", "h2").alias("t"))
+    several = members.groupBy(within, "k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi")
+    side = several.join(members, [within, "k"]).select(F.col("lo").alias("a"), F.col("t").alias("b"))
+    found = components(near.select(a.alias("a"), b.alias("b")).union(side))
+    linked = near.select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    found = found.join(linked, "node", "left").withColumnRenamed("node", "t")
+    keys = members.join(found, "t", "left").groupBy(within, "k").agg(F.min(F.coalesce("least", "t")).alias("of"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    first = keys.groupBy("of").agg(F.min("k").alias("class_id"))
+    return keys.join(first, "of").select(within, F.col("k").alias(key), "class_id", "links")
