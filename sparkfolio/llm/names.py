@@ -1,10 +1,9 @@
 """Variant spellings of people and organisations.
 
-Each distinct name is read into a core (a person's surname, an organisation's own word), a block that must agree (a person's
-first initial, an organisation's other words) and the rest. Cores of a block that differ by a slip of typing are found by a
-pigeonhole segment join: a core is cut into k + 1 segments, and a core within k edits must contain one of them, moved
-by no more than the edits allow; segments are looked up in an inverted index and every hit is verified with a
-banded edit distance. A rare core then stands for the frequent one it is next to, and names that agree in all else are one party.
+Each distinct name is read into words in one order (a person's surname and given name; an organisation's words, abbreviations written out). Names
+within k edits are found by a pigeonhole segment join: a name is cut into k + 1 segments, a name within k edits must contain one of them,
+moved by no more than the edits allow; segments are looked up in an inverted index and every hit is verified with a banded edit
+distance. A rare name then stands for the frequent one that it is a slip of, and names that agree after that are one party.
 """
 
 from __future__ import annotations
@@ -84,11 +83,10 @@ def read_organisation(name: str) -> tuple[list[str], str, list[bool]]:
     words, dots = [], []
     for t in typed:
         inner = t.rstrip(".")
-        if "." in inner:  # g.m.b.h.
-            words.append(inner.replace(".", "") if all(len(x) == 1 for x in inner.split(".")) else inner.replace(".", " "))
-        else:
-            words.append(inner)
-        dots.append(t.endswith("."))
+        parts = inner.split(".")
+        got = ["".join(parts)] if all(len(x) == 1 for x in parts) else [x for x in parts if x]  # g.m.b.h.
+        words += got
+        dots += [*[True] * (len(got) - 1), t.endswith(".")]
     code = ""
     for form, c in _LEGAL:
         n = len(form)
@@ -99,91 +97,169 @@ def read_organisation(name: str) -> tuple[list[str], str, list[bool]]:
     return [words[i] for i in keep], code, [dots[i] for i in keep]
 
 
-def within_one_edit(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, substitution or exchange of neighbours turns a into b; the band is one cell wide."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
+def edits(letters: int) -> int:
+    """Edits up to which names of so many letters may be slips of one another."""
+    return 1 if letters < 6 else 2 if letters <= 20 else 3
+
+
+def word_edits(letters: int) -> int:
+    """Edits that a single word of so many letters, the longer of two, may bear."""
+    return 0 if letters < 3 else 1 if letters < 6 else 2 if letters <= 12 else 3
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """The edit distance (insertions, deletions, substitutions) of a and b, most + 1 if it is more; only a band of cells is looked at."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    far = most + 1
+    row = [j if j <= most else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        diagonal, row[0] = row[lo - 1], i if i <= most else far
+        if lo > 1:
+            row[lo - 1] = far
+        least = row[0]
+        for j in range(lo, hi + 1):
+            above = row[j] if j < i + most else far
+            row[j], diagonal = min(diagonal + (x != b[j - 1]), above + 1, row[j - 1] + 1, far), above
+            least = min(least, row[j])
+        if least > most:
+            return far
+    return row[len(b)]
+
+
+def exchanged(a: str, b: str) -> bool:
+    """Whether b is a with two neighbours exchanged."""
+    if len(a) != len(b):
         return False
-    i, m = 0, min(len(a), len(b))
-    while i < m and a[i] == b[i]:
-        i += 1
-    x, y = a[i:], b[i:]
-    if len(a) == len(b):
-        return x[1:] == y[1:] or (len(x) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
-    return x[1:] == y if len(a) > len(b) else x == y[1:]
+    d = [i for i in range(len(a)) if a[i] != b[i]]
+    return len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
 
 
-#: Cores shorter than this are not taken for slips of one another.
-LEAST_CORE = 5
+def slips(a: str, b: str) -> list[tuple[str, str, bool]] | None:
+    """The words in which two names differ as (word of a, word of b, whether the slip is slight), None if they are no slips of one another.
 
-
-def segments(core: str) -> list[tuple[int, int, str]]:
-    """(length, segment number, segment) of a core cut into two, in two ways one letter apart.
-
-    One edit spoils one segment of a cut only. An exchange of neighbours spoils both where it lies across the cut; it doesn't lie
-    across the other one.
+    A slip is slight if it is one edit, or an exchange of neighbours, in a first word of five letters or more; given names are words of their
+    own that often differ by a letter.
     """
-    n, out = len(core), []
-    for way, at in enumerate((n // 2, n // 2 + 1)):
-        out += [(n, 2 * way, core[:at]), (n, 2 * way + 1, core[at:])]
+    x, y = a.split(" "), b.split(" ")
+    if len(x) != len(y):
+        return None
+    out = []
+    for i, (v, w) in enumerate(zip(x, y)):
+        if v != w:
+            n = max(len(v), len(w))
+            swap = exchanged(v, w)
+            d = distance(v, w, max(word_edits(n), 1))
+            if n < 3 or not (swap or d <= word_edits(n)):
+                return None
+            out.append((v, w, i == 0 and n >= 5 and (swap or d == 1)))
     return out
 
 
-def probes(core: str) -> list[tuple[int, int, str]]:
-    """(length, segment number, substring) under which the index holds all cores of no more letters within one edit."""
-    n, out = len(core), []
-    for length in (n - 1, n):
-        for way, at in enumerate((length // 2, length // 2 + 1)):
-            out.append((length, 2 * way, core[:at]))
-            out.append((length, 2 * way + 1, core[at + n - length :]))
-            if n > length:  # the letter too many may stand behind the segment, or before it
-                out.append((length, 2 * way, core[1 : at + 1]))
-                out.append((length, 2 * way + 1, core[at : at + length - at]))
-    return list(dict.fromkeys(out))
+def segments(head: int, letters: int, k: int) -> list[tuple[int, int]]:
+    """k + 1 segments, as (begin, end), of a name of so many letters: the first word of `head` letters is cut, and what follows goes with its last
+    segment; so each segment has a part of the word that tells most. If that is too short the whole name is cut."""
+    n = head if head >= 2 * (k + 1) else letters
+    at = [n * i // (k + 1) for i in range(k + 1)]
+    return list(zip(at, [*at[1:], letters]))
+
+
+def pieces(name: str, head: int) -> list[str]:
+    """Keys under which the index holds a name: its segments by number, with the lengths of the name and its first word."""
+    n = len(name)
+    return [f"{k}:{head}:{n}:{i}:{name[a:b]}" for k in sorted({edits(n + j) for j in range(4)}) for i, (a, b) in enumerate(segments(head, n, k))]
+
+
+def probes(name: str, head: int) -> list[str]:
+    """Keys under which the index holds one or more of the segments of every name of no more letters within edits(letters) of `name`."""
+    n, k = len(name), edits(len(name))
+    out = {}
+    for more in range(-k, k + 1):  # letters that the other first word has more, and the other rest
+        for rest in range(-k, k + 1):
+            h, m = head + more, n + more + rest
+            if abs(more) + abs(rest) > k or more + rest > 0 or h < 1 or m - h < 0 or (m == h) != (n == head):
+                continue
+            for i, (a, b) in enumerate(segments(h, m, k)):
+                for by in range(-k, k + 1):
+                    if abs(by) + abs(n - m - by) <= k and a + by >= 0 and b + by <= n:
+                        out[f"{k}:{h}:{m}:{i}:{name[a + by : b + by]}"] = None
+    return list(out)
 
 
-def segment_join(cores: DataFrame) -> DataFrame:
-    """Pairs (block, core, other) of different cores of a block within one edit; `cores` has distinct (block, core)."""
-    row = "block string, core string, piece string"
+def segment_join(names: DataFrame) -> DataFrame:
+    """Rows (a, b, words) of different names, the longer first, within the edits that edits() allows the longer one; both orders if they are as long.
 
-    def pieces(of):
+    `names` has distinct rows (name, head), head being the letters of the first word. words: see slips(), null if the words don't correspond.
+    """
+
+    def keyed(of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(x, c, f"{n}:{i}:{s}") for x, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(c) >= LEAST_CORE for n, i, s in of(c)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["block", "core", "piece"])
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1_000):
+                    b = batch.slice(lo, 1_000)
+                    rows = [(x, p) for x, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in of(x, h)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["name", "piece"])
 
         return run
 
-    index = cores.mapInArrow(pieces(segments), row).withColumnRenamed("core", "other")
-    looked = cores.mapInArrow(pieces(probes), row)
-    hits = looked.join(index, ["block", "piece"]).where("core <> other").select("block", "core", "other").distinct()
+    index = names.select("name", "head").mapInArrow(keyed(pieces), "name string, piece string").withColumnRenamed("name", "b")
+    looked = names.select("name", "head").mapInArrow(keyed(probes), "name string, piece string").withColumnRenamed("name", "a")
+    hits = looked.join(index, "piece").where("a <> b").select("a", "b").distinct()
+    kind = pa.list_(pa.struct([("wrong", pa.string()), ("right", pa.string()), ("slight", pa.bool_())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([within_one_edit(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.bool_()))
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if distance(x, y, edits(len(x))) <= edits(len(x)):
+                    w = slips(x, y)
+                    rows.append((x, y, w and [dict(zip(("wrong", "right", "slight"), d)) for d in w]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), kind))], names=["a", "b", "words"])
 
-    one = hits.mapInArrow(verify, "block string, core string, other string")
-    return one.unionByName(one.select("block", F.col("other").alias("core"), F.col("core").alias("other"))).distinct()
+    return hits.mapInArrow(verify, "a string, b string, words array<struct<wrong:string,right:string,slight:boolean>>")
 
 
-def canonical_cores(named: DataFrame) -> DataFrame:
-    """Rows (block, core, own): the core that each core of a block stands for. `named` has block, core and mentions n.
+#: A slip that isn't slight is taken for one only if the right name is so many times more frequent, and the wrong word is in one company at most.
+CLEARLY = 4
 
-    A core stands for the most mentioned one within one edit, if that has more mentions than itself (at a tie the smaller by code
-    points counts as more), and so on for one more step, as a slip of a slip is not linked.
+
+def standing_for(forms: DataFrame) -> DataFrame:
+    """Rows (name, own): the name that each one stands for, itself where it is no slip. `forms`: rows (name, head, n), head as in
+    segment_join(), n the mentions.
+
+    A name stands for the most mentioned one that it is a slip of. A slight slip needs a name with more mentions (at a tie the smaller by code
+    points counts as more); another one needs CLEARLY as many, and a wrong word that isn't seen with different words beside it. Slips of slips are
+    followed to their end.
     """
-    count = named.groupBy("block", "core").agg(F.sum("n").alias("n"))
-    count = cut(count)
-    pairs = segment_join(count.select("block", "core"))
-    weight = count.select("block", F.col("core").alias("other"), F.col("n").alias("m"))
-    best = pairs.join(weight, ["block", "other"]).groupBy("block", "core").agg(F.max_by(F.struct("m", "other"), F.struct("m", F.col("other"))).alias("best"))
-    up = count.join(best, ["block", "core"], "left")
-    more = (F.col("best.m") > F.col("n")) | ((F.col("best.m") == F.col("n")) & (F.col("best.other") < F.col("core")))
-    up = cut(up.select("block", "core", F.when(more, F.col("best.other")).otherwise(F.col("core")).alias("own")))
-    second = up.select("block", F.col("core").alias("own"), F.col("own").alias("own2"))
-    return up.join(second, ["block", "own"]).select("block", "core", F.col("own2").alias("own"))
+    forms = cut(forms.groupBy("name", "head").agg(F.sum("n").alias("n")))
+    pairs = segment_join(forms.select("name", "head"))
+    pairs = cut(pairs.where("words is not null"))
+    turned = F.transform("words", lambda w: F.struct(w["right"].alias("wrong"), w["wrong"].alias("right"), w["slight"].alias("slight")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), turned.alias("words"))).dropDuplicates(["a", "b"])
+    mentions = forms.groupBy("name").agg(F.max("n").alias("n"))
+    both = both.join(mentions.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(mentions.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
+    clear = F.col("nb") >= CLEARLY * F.col("na")
+    slight = F.forall("words", lambda w: w["slight"])
+    more = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    # a word in the company of different words is a word: it is looked up only for the slips that aren't slight
+    words = forms.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("w")).where("length(w) > 2")
+    beside = words.select("w", F.expr("array_join(array_sort(array_remove(split(name, ' '), w)), ' ')").alias("rest")).where("length(rest) > 1").distinct().groupBy("w").agg(F.count("*").alias("c"))
+    doubted = both.where(~slight & clear)
+    known = doubted.select("a", "b", "nb", F.explode("words").alias("x")).where("not x.slight").join(beside, F.col("x.wrong") == F.col("w"), "left")
+    known = known.groupBy("a", "b", "nb").agg(F.max(F.coalesce("c", F.lit(0))).alias("c")).where("c < 2")
+    kept = both.where(slight & more).select("a", "b", "nb").unionByName(known.select("a", "b", "nb"))
+    best = kept.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("own"))
+    up = cut(best)
+    while True:
+        nxt = up.select(F.col("a").alias("own"), F.col("own").alias("further"))
+        up = cut(up.join(nxt, "own", "left").select("a", F.coalesce("further", "own").alias("own"), F.col("further").isNotNull().alias("moved")))
+        if up.where("moved").isEmpty():
+            break
+        up = up.drop("moved")
+    return mentions.join(up.select(F.col("a").alias("name"), "own"), "name", "left").select("name", F.coalesce("own", "name").alias("own"))
 
 
 def distinct_names(df: DataFrame, names: str) -> DataFrame:
@@ -217,13 +293,21 @@ def link_people(names: DataFrame) -> DataFrame:
     people = typed.select(
         "name", "n", "middle", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("given"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("core")
     ).withColumn("block", F.substring("given", 1, 1))
-    people = cut(people)
     spark = names.sparkSession
-    # short forms may begin with another letter (bill): they are looked for under the full names' initial as well
     short = spark.createDataFrame([(s, f) for s, fs in SHORT_NAMES.items() for f in fs.split()], "given string, full string")
-    maybe = people.join(F.broadcast(short), "given")
-    people = people.unionByName(maybe.select("name", "n", "middle", "given", "core", F.substring("full", 1, 1).alias("block"))).distinct()
-    people = cut(people.join(canonical_cores(people), ["block", "core"]))
+    listed = short.groupBy("given").agg(F.array_sort(F.collect_set(F.substring("full", 1, 1))).alias("initials"))
+    people = cut(people.join(F.broadcast(listed), "given", "left"))
+    # a name is looked up as it is, by its initial, and as a short form by the initials of the full ones (bill): a slip in it may be known from any
+    rests = F.array_distinct(F.concat(F.array(F.col("given"), F.col("block")), F.coalesce("initials", F.array().cast("array<string>"))))
+    forms = people.select("name", "n", "core", "given", F.posexplode(rests).alias("rank", "rest"))
+    forms = cut(forms.withColumn("form", F.trim(F.concat_ws(" ", F.regexp_replace("core", " ", "-"), "rest"))).withColumn("head", F.length("core")))
+    own = standing_for(forms.select(F.col("form").alias("name"), "head", "n"))
+    found = forms.join(own.withColumnRenamed("name", "form"), "form")
+    right = F.when(F.instr("own", " ") > 0, F.substring_index("own", " ", -1)).otherwise("")
+    read_as = F.struct(F.regexp_replace(F.substring_index("own", " ", 1), "-", " ").alias("own"), F.when((F.col("rank") == 0) & (F.length("given") > 1), right).otherwise(F.col("given")).alias("given"))
+    found = found.groupBy("name").agg(F.min_by(read_as, F.struct((F.col("own") == F.col("form")).alias("same"), "rank")).alias("r"))
+    people = people.select("name", "n", "middle").join(found, "name").select("name", "n", "middle", F.col("r.own").alias("own"), F.col("r.given").alias("given"))
+    people = cut(people.withColumn("block", F.substring("given", 1, 1)))
     full = people.where("length(given) > 1").groupBy("own", "block", "given").agg(F.sum("n").alias("n"))
     # a short form stands for the only full name that its surname has for it: listed, or of which it is the beginning
     listed = full.join(F.broadcast(short), "given").join(full.select("own", F.col("given").alias("full")), ["own", "full"])
@@ -239,9 +323,7 @@ def link_people(names: DataFrame) -> DataFrame:
     mid = whole.where("middle <> ''").groupBy("own", "block", "middle").agg(F.count_distinct("who").alias("c"), F.min("who").alias("w2")).where("c = 1").drop("c")
     people = people.join(one, ["own", "block"], "left").join(mid, ["own", "block", "middle"], "left")
     who = F.when(F.length("given") == 1, F.coalesce("w1", "w2", "given")).otherwise(F.col("who"))
-    # a name read in two blocks counts where it was resolved
-    done = people.select("name", F.concat_ws("|", "own", who).alias("party"), (F.col("who") != F.col("given")).alias("resolved"), (F.col("block") == F.substring("given", 1, 1)).alias("home"))
-    return done.groupBy("name").agg(F.max_by("party", F.struct("resolved", "home", "party")).alias("party"))
+    return people.select("name", F.concat_ws("|", "own", who).alias("party"))
 
 
 def link_organisations(names: DataFrame) -> DataFrame:
@@ -267,29 +349,35 @@ def link_organisations(names: DataFrame) -> DataFrame:
     word = typed.select("name", "n", F.explode(F.arrays_zip("words", "dots")).alias("x")).select("name", "n", F.col("x.words").alias("w"), F.col("x.dots").alias("dot"))
     seen = cut(word.groupBy("w").agg(F.sum(F.when(F.col("dot"), F.lit(0)).otherwise(F.col("n"))).alias("n"), F.max("dot").alias("dot")))
     # an abbreviation has its letters in order in a more frequent, longer word; without a point it is short or that word's beginning
-    brief = seen.where("length(w) > 1").select(F.col("w").alias("s"), F.col("n").alias("sn"), "dot", F.substring("w", 1, 1).alias("i"))
-    long = seen.where("n > 0 and length(w) > 4").select(F.col("w").alias("l"), F.col("n").alias("ln"), F.substring("w", 1, 1).alias("i"))
+    brief = seen.where("length(w) > 1").select(F.col("w").alias("s"), F.col("n").alias("sn"), "dot")
+    long = seen.where("n > 0 and length(w) > 4").select(F.col("w").alias("l"), F.col("n").alias("ln"))
+    # both are looked up, not compared: a word under each of its beginnings, and under its first, last and each other letter, as the
+    # letters that an abbreviation keeps besides its first are one within and the last
+    begun = long.select("l", "ln", F.explode(F.sequence(F.lit(2), F.length("l") - 1)).alias("k")).select("l", "ln", F.expr("substring(l, 1, k)").alias("s"))
+    begun = brief.join(begun, "s").select("s", "sn", "l", "ln")
+    inner = F.explode(F.array_distinct(F.split(F.expr("substring(l, 2, length(l) - 2)"), "")))
+    frame = long.select("l", "ln", inner.alias("i")).select("l", "ln", F.concat(F.substring("l", 1, 1), F.col("i"), F.substring("l", -1, 1)).alias("frame"))
+    kept = brief.where("length(s) > 2 and (dot or length(s) <= 4)").withColumn("frame", F.concat(F.substring("s", 1, 2), F.substring("s", -1, 1)))
     like = F.concat(F.lit("^"), F.regexp_replace("s", "(.)", "$1.*"))
-    loose = brief.where("dot or length(s) <= 4").join(long, "i").where(F.rlike("l", like)).select("s", "sn", "l", "ln")
-    # beginnings are looked up, not compared: every word under each of its beginnings
-    begun = long.select("l", "ln", F.explode(F.sequence(F.lit(4), F.length("l") - 1)).alias("k")).select("l", "ln", F.expr("substring(l, 1, k)").alias("s"))
-    fit = loose.unionByName(brief.where("length(s) > 4").join(begun, "s").select("s", "sn", "l", "ln"))
+    fit = begun.unionByName(kept.join(frame, "frame").where(F.rlike("l", like)).select("s", "sn", "l", "ln"))
     fit = fit.where(F.length("l") > F.length("s") + 1).where(F.col("ln") > F.col("sn"))
     fit = fit.groupBy("s").agg(F.max_by("l", F.struct(F.expr("startswith(l, s)"), "ln", "l")).alias("l"))
     word = word.join(fit.withColumnRenamed("s", "w"), "w", "left").withColumn("w", F.coalesce("l", "w")).drop("l")
     word = cut(word)
-    spread = word.groupBy("w").agg(F.count_distinct("name").alias("d"))
-    word = word.join(spread, "w")
-    # the own word is the one in the fewest names
-    own = word.groupBy("name", "n").agg(F.min_by("w", F.struct("d", "w")).alias("core"), F.sort_array(F.collect_list("w")).alias("all"))
-    own = own.join(typed.select("name", "legal"), "name")
-    own = own.select("name", "n", "legal", "core", F.concat_ws(" ", F.array_remove("all", F.col("core"))).alias("block"))
-    own = cut(own)
-    own = own.join(canonical_cores(own), ["block", "core"])
-    known = own.where("legal <> ''").groupBy("own", "block").agg(F.count_distinct("legal").alias("c"), F.min("legal").alias("only")).where("c = 1").drop("c")
-    own = own.join(known, ["own", "block"], "left")
+    # any word may hold the slip: a name is looked up with each of its words in front, the others in order
+    name = word.groupBy("name", "n").agg(F.array_sort(F.collect_set("w")).alias("all")).join(typed.select("name", "legal"), "name")
+    name = name.withColumn("whole", F.array_join("all", " "))
+    turned = name.groupBy("whole", "all").agg(F.sum("n").alias("n")).select("whole", "n", F.explode("all").alias("w"), "all")
+    turned = turned.select("whole", "n", F.length("w").alias("head"), F.concat_ws(" ", F.col("w"), F.expr("array_join(array_remove(all, w), ' ')")).alias("form"))
+    turned = cut(turned.withColumn("form", F.trim("form")))
+    stands = standing_for(turned.select(F.col("form").alias("name"), "head", "n"))
+    sorted_ = F.array_join(F.array_sort(F.split("own", " ")), " ")
+    moved = turned.join(stands.where("name <> own").withColumnRenamed("name", "form"), "form").groupBy("whole").agg(F.max_by(sorted_, F.struct("n", sorted_)).alias("own"))
+    own = cut(name.join(moved, "whole", "left").select("name", "legal", F.coalesce("own", "whole").alias("own")))
+    known = own.where("legal <> ''").groupBy("own").agg(F.count_distinct("legal").alias("c"), F.min("legal").alias("only")).where("c = 1").drop("c")
+    own = own.join(known, "own", "left")
     form = F.when(F.col("legal") == "", F.coalesce("only", F.lit(""))).otherwise(F.col("legal"))
-    return own.select("name", F.concat_ws("|", "own", "block", form).alias("party"))
+    return own.select("name", F.concat_ws("|", "own", form).alias("party"))
 
 
 def same_party_pairs(linked: DataFrame, role: str) -> DataFrame:

@@ -131,26 +131,6 @@ def test_near_duplicates_are_brute_force(spark, bag):
 # ---------------------------------------------------------------- names
 
 
-def osa(a, b):
-    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
-    return d[-1][-1]
-
-
-def test_segment_join_is_brute_force(spark):
-    rng = random.Random(3)
-    words = {"".join(rng.choices("abc", k=rng.randint(5, 8))) for _ in range(250)}
-    df = spark.createDataFrame([("x", w) for w in words] + [("y", "abcabc")], "block string, core string")
-    got = {(r.core, r.other) for r in names.segment_join(df).collect()}
-    assert got == {(a, b) for a in words for b in words if a != b and osa(a, b) <= 1}
-    for a, b in itertools.product(sorted(words)[:60], repeat=2):
-        assert names.within_one_edit(a, b) == (osa(a, b) <= 1)
-
-
 PEOPLE = {
     "Franziska Jalhozker": {"Jalhozker, Franziska", "Dr. Franziska Jalhozker", "Franzi Jalhozker", "F. Jalhozker", "JALHOZKER, Franziska A.", "Franziska Jalhozkr", "Jalhozker Franziska"},
     "Theresa Jalhozker": {"T Jalhozker", "Theresa  Jalhozker ", "Tess Jalhozker", "THERESA JALHOZKER"},
