@@ -206,20 +206,21 @@ def segment_join(names: DataFrame) -> DataFrame:
 
     index = names.select("name", "head").mapInArrow(keyed(pieces), "name string, piece string").withColumnRenamed("name", "b")
     looked = names.select("name", "head").mapInArrow(keyed(probes), "name string, piece string").withColumnRenamed("name", "a")
-    hits = looked.join(index, "piece").where("a <> b").select("a", "b").distinct()
+    # every hit is verified where it is found, so that only names within reach of one another are shuffled; 3 is the most that edits() allows
+    reach = F.when(F.length("a") < 6, 1).when(F.length("a") <= 20, 2).otherwise(3)
+    hits = looked.join(index, "piece").where("a <> b").withColumn("d", F.levenshtein("a", "b", 3)).where((F.col("d") >= 0) & (F.col("d") <= reach)).select("a", "b").distinct()
     kind = pa.list_(pa.struct([("wrong", pa.string()), ("right", pa.string()), ("slight", pa.bool_())]))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if distance(x, y, edits(len(x))) <= edits(len(x)):
-                    w = slips(x, y)
-                    rows.append((x, y, w and [dict(zip(("wrong", "right", "slight"), d)) for d in w]))
+                w = slips(x, y)
+                rows.append((x, y, w and [dict(zip(("wrong", "right", "slight"), d)) for d in w]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), kind))], names=["a", "b", "words"])
 
-    return hits.mapInArrow(verify, "a string, b string, words array<struct<wrong:string,right:string,slight:boolean>>")
+    return hits.mapInArrow(compare, "a string, b string, words array<struct<wrong:string,right:string,slight:boolean>>")
 
 
 #: A slip that isn't slight is taken for one only if the right name is so many times more frequent, and the wrong word is in one company at most.
