@@ -15,18 +15,13 @@ from sparkfolio.llm.spam import find_spam, spam_features
 from sparkfolio.session import spread, table
 
 
-#: Titles up to this number go to all tasks, more of them to the texts by a shuffle.
-TITLES_SENT = 600_000
-
-
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (src, rec_key, text, title) of chunks and sections; a section's paragraphs are parted by a blank line."""
-    chunks = spread(table(spark, sf_dir, "chunks")).select(F.lit("chunk").alias("src"), F.col("chunk_id").alias("rec_key"), F.col("document_id").alias("doc_id"), "text")
+    """Rows (src, rec_key, doc, text, title) of chunks and sections; a section's paragraphs are parted by a blank line."""
+    chunks = spread(table(spark, sf_dir, "chunks")).select(F.lit("chunk").alias("src"), F.col("chunk_id").alias("rec_key"), F.col("document_id").alias("doc"), "text")
     joined = F.array_join("paragraphs", "\n\n")
-    sections = spread(table(spark, sf_dir, "patent_sections")).select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), "doc_id", joined.alias("text"))
-    titles = table(spark, sf_dir, "patents").where("doc_id is not null and title is not null").groupBy("doc_id").agg(F.min("title").alias("title"))
-    few = table(spark, sf_dir, "patents").count() <= TITLES_SENT
-    return chunks.unionByName(sections).join(F.broadcast(titles) if few else titles, "doc_id", "left").select("src", "rec_key", "text", "title")
+    sections = spread(table(spark, sf_dir, "patent_sections")).select(F.lit("section").alias("src"), F.col("section_id").alias("rec_key"), F.col("doc_id").alias("doc"), joined.alias("text"))
+    titles = table(spark, sf_dir, "patents").where("doc_id is not null and title is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("title").alias("title"))
+    return chunks.unionByName(sections).join(titles, "doc", "left")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +29,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reflowed(_scanned(spark, sf_dir).distinct(), ["src", "rec_key"])
+    return reflowed(_scanned(spark, sf_dir), ["src", "rec_key"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

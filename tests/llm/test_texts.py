@@ -232,13 +232,69 @@ def test_long_words_and_all_places_are_tried(spark):
     assert got == {("c0nfigurati0nal", "configurational"), ("m" * 69 + "rn", "m" * 70)}
 
 
-def test_many_suspects_are_joined_not_sent(spark, monkeypatch):
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
     df = spark.createDataFrame([("s", *r) for r in scanned_rows()], "src string, rec_key string, text string, title string")
     want = set(map(tuple, scans.scan_faults(df, ["src", "rec_key"]).collect()))
-    monkeypatch.setattr(scans, "SENT", 0)
+    monkeypatch.setattr(scans, "FILTER_BITS", 64)  # most words pass it
     assert set(map(tuple, scans.scan_faults(df, ["src", "rec_key"]).collect())) == want
 
 
+def test_filter_holds_its_words(spark):
+    words = [f"wörd{i}" for i in range(500)]
+    bits = scans.word_filter(spark.createDataFrame([(w,) for w in words], "word string"), 1 << 16)
+    assert all(scans.in_filter(bits, w) for w in words) and sum(scans.in_filter(bits, f"x{i}") for i in range(2000)) < 20
+
+
+def test_vectors_link_the_words(spark, monkeypatch):
+    """With vectors that say nothing no misread word is corrected."""
+    df = spark.createDataFrame([("s", *r) for r in scanned_rows()], "src string, rec_key string, text string, title string")
+    monkeypatch.setattr(scans, "context_vectors", lambda counts: (np.zeros((scans.BUCKETS, scans.DIMENSIONS)), np.full(scans.BUCKETS, 1 / scans.BUCKETS)))
+    assert scans.scan_faults(df, ["src", "rec_key"]).where("defect = 'misread'").count() == 0
+    assert scans.scan_faults(df, ["src", "rec_key"]).where("defect = 'hyphenation'").count() == 3
+
+
+def test_context_vectors_tell_contexts_apart():
+    """Two groups of buckets that stand beside their own group only."""
+    counts = np.zeros((scans.BUCKETS, scans.BUCKETS))
+    counts[:20, :20] = counts[20:40, 20:40] = 50
+    v, share = scans.context_vectors(counts)
+    u = v[:40] / np.linalg.norm(v[:40], axis=1, keepdims=True)
+    like = u @ u.T
+    assert like[:20, :20].mean() > 0.9 and like[:20, 20:].mean() < 0.3 and abs(share.sum() - 1) < 1e-9
+    assert np.isfinite(scans.context_vectors(np.zeros_like(counts))[0]).all()
+
+
+def test_headers_by_recurrence(spark):
+    """A line of no known form that interrupts sentences on page after page, with page numbers in Roman figures."""
+    rng = random.Random(4)
+    words = "pump valve rotor seal motor gear shaft moves drives holds the near each".split()
+    some = lambda: " ".join(rng.choices(words, k=8))
+    pages = [f"{some()}\nMETHOD AND APPARATUS FOR COOLING\n{some()}\n- xii -\n{some()}." for _ in range(4)]
+    long = "\n".join(f"{some()}\nCooling of Machines {i}\n{some()}" for i in range(3))
+    cutted = f"{some()} com-\nMETHOD AND APPARATUS FOR COOLING\npressor {some()}"
+    rows = [("s", f"p{i}", "d1", t) for i, t in enumerate(pages)] + [("s", "cut", "d1", cutted), ("s", "long", "d2", long), ("s", "once", "d3", pages[0].replace("xii", "iv"))]
+    rows += [("s", f"copy{i}", "d4", f"{words[0]} the\nGear Box Unit\nmoves") for i in range(6)] + [(None, None, None, pages[1])]
+    df = spark.createDataFrame([(*r, None) for r in rows], "src string, rec_key string, doc string, text string, title string")
+    got = {}
+    for r in scans.scan_faults(df, ["src", "rec_key"]).collect():
+        got.setdefault(r.rec_key, set()).add((r.defect, r.item))
+    head = ("running_header", "METHOD AND APPARATUS FOR COOLING")
+    assert all(got[f"p{i}"] == {head, ("page_number", "- xii -")} for i in range(4))
+    assert got["cut"] == {head, ("hyphenation", "compressor")}
+    assert got["long"] == {("running_header", f"Cooling of Machines {i}") for i in range(3)}
+    assert got["once"] == {("page_number", "- iv -")} and not any(k and k.startswith("copy") for k in got)
+    text = {r.rec_key: r.text for r in scans.reflowed(df, ["src", "rec_key"]).collect()}
+    assert "COOLING" not in text["p0"] and " compressor " in text["cut"] and "COOLING" in text["once"] and "Gear Box Unit" in text["copy0"]
+
+
+def test_null_keys_keep_their_own_corrections(spark):
+    rows = scanned_rows()
+    df = spark.createDataFrame([("s", None, r[1], r[2]) for r in rows], "src string, rec_key string, text string, title string")
+    got = {r.text for r in scans.reflowed(df, ["src", "rec_key"]).collect()}
+    assert "each mixing suffers near the compressor said solvent." in got and "the compressor mixing near the retrieval-tuning pump." in got and None in got
+    assert scans.reflowed(df, ["src", "rec_key"]).count() == len({(r[1], r[2]) for r in rows})
+
+
 def test_band_plan_keeps_its_promises():
     for n in (1, 10**6, 10**9, 10**12):
         for least in (0.3, 0.5, 0.8, 1.0):
