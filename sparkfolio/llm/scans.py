@@ -371,9 +371,11 @@ def read_pages(text: str, title: str | None, headers: Collection[str] = ()) -> t
     if headers:
         kinds = [k or ("running_header" if x and letters(x) in headers else None) for k, x in zip(kinds, lines)]
     found = [(k, x) for k, x in zip(kinds, lines) if k]
-    odd = interruptions(lines, kinds)
-    if not found:
-        return found, lines, odd
+    return found, without(lines, kinds) if found else lines, interruptions(lines, kinds)
+
+
+def without(lines: list[str], kinds: list) -> list[str]:
+    """The body of a text's lines, those of a kind left out: '' where a paragraph may end."""
     body: list[str] = []
     i = 0
     while i < len(lines):
@@ -390,7 +392,7 @@ def read_pages(text: str, title: str | None, headers: Collection[str] = ()) -> t
             continue
         body.append(lines[i])
         i += 1
-    return found, body, odd
+    return body
 
 
 def _flows(before: str, after: str) -> bool:
@@ -550,25 +552,28 @@ def reflowed(texts: DataFrame, keys: list[str]) -> DataFrame:
     """
     here = ["__a", "__b"]
     named = texts.withColumns({"__a": F.xxhash64("text", "title"), "__b": F.xxhash64(F.lit("second"), "text", "title")})
-    faults = scan_faults(named, here).where("defect <> 'page_number'")
+    faults = scan_faults(named, here)
     fixes = faults.groupBy(*here).agg(F.collect_list(F.struct("defect", "seen", "item")).alias("fixes"))  # bounded by the words of a text
-    both = named.select(*keys, "text", "title", *here).join(fixes, here, "left").dropDuplicates([*here, *keys])
+    both = named.select(*keys, "text", *here).join(fixes, here, "left").dropDuplicates([*here, *keys])
     schema = T.StructType([texts.schema[k] for k in keys] + [T.StructField("text", T.StringType())])
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [t if t is None else flow(t, title, fixes or []) for t, title, fixes in zip(*(b.column(n + j).to_pylist() for j in range(3)))]
+            out = [t if t is None else flow(t, fixes or []) for t, fixes in zip(*(b.column(n + j).to_pylist() for j in range(2)))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(out, pa.string())], names=schema.names)
 
-    return both.select(*keys, "text", "title", "fixes").mapInArrow(run, schema)
+    return both.select(*keys, "text", "fixes").mapInArrow(run, schema)
 
 
-def flow(text: str, title: str | None, fixes: list[dict]) -> str:
+def flow(text: str, fixes: list[dict]) -> str:
     """One text with the given faults repaired."""
     read = {f["seen"]: f["item"] for f in fixes if f["defect"] == "misread"}
     whole = {f["item"] for f in fixes if f["defect"] == "hyphenation"}
-    _, body, _ = read_pages(text, title, {letters(f["item"]) for f in fixes if f["defect"] == "running_header"})
+    away = {f["item"] for f in fixes if f["defect"] in ("running_header", "page_number")}
+    body = [x.strip() for x in _LINES.split(text)]
+    if away and sum(map(bool, body)) > 1:
+        body = without(body, [x in away for x in body])
     out: list[str] = []
     para: list[str] = []
     for j, line in enumerate(body):
@@ -583,6 +588,9 @@ def flow(text: str, title: str | None, fixes: list[dict]) -> str:
         if parts:
             left, right = parts
             para[-1] = left + ("-" if bare(f"{left}-{right}") in whole else "") + words.pop(0)
+        if not read:
+            para += words
+            continue
         for w in words:
             fix = read.get(bare(w))
             if fix:
