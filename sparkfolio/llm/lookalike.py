@@ -17,20 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.session import bound_batches, cut
+from sparkfolio.session import cut
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = dict(zip("аеорсхуіѕјһԁԛԝӏАВЕНІЈКМОРЅСТХУ", "aeopcxyisjhdqwlABEHIJKMOPSCTXY"))
 GREEK = dict(zip("αικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aikvoptuxABEZHIKMNOPTYX"))
 TO_LATIN = {**CYRILLIC, **GREEK}
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
+TO_GREEK = {v: k for k, v in GREEK.items()} | {c: {v: k for k, v in GREEK.items()}[x] for c, x in CYRILLIC.items() if x in GREEK.values()}
+INTO = {"L": TO_LATIN, "C": TO_CYRILLIC | {g: TO_CYRILLIC[x] for g, x in GREEK.items() if x in TO_CYRILLIC}, "G": TO_GREEK}
 
 # Characters without width. The joiners have a meaning between letters of the scripts of JOINED.
 INVISIBLE = "­͏᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _JOINED = re.compile("[؀-෿က-႟ក-៿\U0001f300-\U0001faff]")
-# Forms of other width, and letters joined into one character.
-_FORMS = re.compile("[！-￮ﬀ-ﬆĲĳǄ-ǌǱ-ǳ]")
+# Forms of other width, letters joined into one character, letters of mathematical alphabets, in circles and squares, and Roman figures.
+_FORMS = re.compile("[！-￮ﬀ-ﬆĲĳǄ-ǌǱ-ǳ\U0001d400-\U0001d6a5\U0001d7ce-\U0001d7ff\u24b6-\u24e9\U0001f130-\U0001f149\u2160-\u217f]")
 _SPACE = "\t-\r\x1c-\x20\x85\xa0  -     　"
 _BREAK = re.compile(f"[{_SPACE}]+")
 _SPLIT = re.compile(f"([{_SPACE}]+)")
@@ -62,7 +64,7 @@ def script(word: str) -> str:
             found.add("L")
         elif 0x400 <= o < 0x530:
             found.add("C")
-        elif 0x370 <= o < 0x400 and c.isalpha():
+        elif (0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000) and c.isalpha():
             found.add("G")
     return found.pop() if len(found) == 1 else "X" if found else ""
 
@@ -83,24 +85,22 @@ def repaired(word: str, before: str, after: str) -> str | None:
             return None
         own = "L"
     else:
-        firm = [script(c) for c in word if c not in TO_LATIN and c not in TO_CYRILLIC]
-        latin, cyrillic = firm.count("L"), firm.count("C")
-        if latin == cyrillic:
-            own = before if before == after and before in ("L", "C") else "L"
-        else:
-            own = "L" if latin > cyrillic else "C"
-    to = TO_LATIN if own == "L" else TO_CYRILLIC
-    out = "".join(to.get(c, c) for c in word)
+        own = _own(word) or (before if before == after and before else "L")
+    out = "".join(INTO[own].get(c, c) if script(c) != own else c for c in word)
     return out if out != word and script(out) == own else None
 
 
+def _own(word: str) -> str:
+    """The script of most of a word's letters that have no look-alike, '' if two have as many. One Greek letter is a symbol (MΩ), not a Greek word."""
+    firm = [script(c) for c in word if c not in TO_LATIN and c not in TO_CYRILLIC]
+    most = sorted(((firm.count(k), k) for k in "LCG"), reverse=True)
+    return most[0][1] if most[0][0] > most[1][0] and most[0] != (1, "G") else ""
+
+
 def main_script(word: str) -> str:
     """The script of a word, or of most of its letters that have no look-alike."""
     kind = script(word)
-    if kind != "X":
-        return kind
-    firm = [script(c) for c in word if c not in TO_LATIN and c not in TO_CYRILLIC]
-    return "L" if firm.count("L") >= firm.count("C") else "C"
+    return kind if kind != "X" else _own(word) or "L"
 
 
 def _clean(raw: str) -> str:
@@ -152,7 +152,7 @@ def _odd_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.bool_(), *[pa.string()] * 4))]
                 yield pa.RecordBatch.from_arrays([*(b.column(j).take(pa.array(at)) for j in range(n)), *cols], names=schema.names)
 
-    return bound_batches(df).select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def _known(df: DataFrame, text: str, odd: DataFrame) -> DataFrame:
@@ -186,12 +186,14 @@ def find_oddities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def consistent_text(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Rows (keys, text) of `df` with every text in its consistent form; blanks of any kind become ordinary ones.
 
-    A null text stays null. The keys should name a row; rows with equal keys share their repairs.
+    A null text stays null. Repairs belong to a text, so rows with null or equal keys keep their own, and copies of a text share theirs.
     """
-    fixes = _resolved(df, keys, text).where("fixed").select(*keys, "w1", "x1").distinct()
-    fixes = fixes.groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__{k}") for k in keys]).agg(F.collect_list(F.struct("w1", "x1")).alias("fixes"))
-    base = df.select(*keys, F.col(text).cast("string").alias("text"), *[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__{k}") for k in keys])
-    both = base.join(fixes, [f"__{k}" for k in keys], "left")
+    value = F.col(text).cast("string")
+    base = df.select(*keys, value.alias("text"), F.xxhash64(value).alias("__a"), F.xxhash64(F.lit("second"), value).alias("__b"))
+    here = ["__a", "__b"]
+    fixes = _resolved(base.where("text is not null"), here, "text").where("fixed").select(*here, "w1", "x1").distinct()
+    fixes = fixes.groupBy(*here).agg(F.collect_list(F.struct("w1", "x1")).alias("fixes"))  # words of a text
+    both = base.join(fixes, here, "left")
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("text", T.StringType())])
     n = len(keys)
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.bpe import TOKENIZERS, VOCABULARY, CorpusEncoder, blocks
-from sparkfolio.session import bound_batches
 
 #: Items that are differenced together. A larger batch leaves less space, a smaller one is quicker.
 BATCH = 768
@@ -93,7 +92,8 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capac
     A text is cut only if it alone is longer: into full containers and a rest, which is packed like a whole text. Null
     and empty texts are left out; blank ones have tokens and are packed. A null key and repeated rows are items of their own.
     Other columns are not read. Each task packs the rows that it reads, `batch` items at a time, so there is no shuffle,
-    no group of unbounded size, and a task that runs again gives the same containers.
+    no group of unbounded size. Items come in the order in which a task reads them: one that reads a file again gives the same containers, one behind
+    a shuffle may give others, as the order of fetched blocks isn't fixed. All of one run's containers come from the same attempt of a task.
     """
     if capacity < 1 or batch < 1:
         raise ValueError("capacity and batch must be positive")
@@ -147,4 +147,4 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capac
         if rows:
             yield out()
 
-    return bound_batches(df).select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
