@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
-import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,23 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if 2 * df.rdd.getNumPartitions() > want else df.repartition(want)
 
 
-#: Rows of texts that go to Python at once. Spark counts rows, not bytes, and its own default is sized for numbers.
-TEXT_ROWS = 2_000
-
-
-def bound_batches(df: DataFrame) -> DataFrame:
-    """`df`, after its session's Arrow batches were bounded to TEXT_ROWS, unless the user chose a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(TEXT_ROWS))
-    return df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
     A cluster names it in `spark.checkpoint.dir`; only where neither that setting nor a folder set by the
-    caller exists (tests, a laptop) is a temporary one made.
+    caller exists, and all runs on this machine (tests, a laptop), is a temporary one made, which goes when Python ends. RuntimeError on a
+    cluster without a shared folder: its executors would each write to their own disk.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
@@ -47,7 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return have
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"sparkfolio-checkpoints-{os.getuid()}")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sparkfolio-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
     sc.setCheckpointDir(path)
     return path
 
