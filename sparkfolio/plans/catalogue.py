@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkfolio.plans import checks, model, records, retrieval
+from sparkfolio.plans import checks, model, records, retrieval, tables
 
-QUERIES: dict = {**retrieval.QUERIES, **checks.QUERIES, **model.QUERIES, **records.QUERIES}
-SQL: dict[str, str] = {**retrieval.SQL, **checks.SQL, **model.SQL, **records.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **checks.QUERIES, **model.QUERIES, **records.QUERIES, **tables.QUERIES}
+SQL: dict[str, str] = {**retrieval.SQL, **checks.SQL, **model.SQL, **records.SQL, **tables.SQL}
 
 
 def flagship(spark, sf_dir):

@@ -239,6 +239,9 @@ SQL = {
     round(avg(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END), 2) AS overlap FROM e""",
     "judge_scores": f"""SELECT id, coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(regexp_extract(reply, '(?s)\\{{.*\\}}')) THEN regexp_extract(reply, '(?s)\\{{.*\\}}') END, '$.score') AS DOUBLE), 0.0) AS score
     FROM (VALUES {_rows(JUDGED)}) AS t(id, reply)""",
+    "structured_outputs": f"""WITH r AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM (VALUES {_rows(RAW)}) AS t(id, raw)),
+    e AS (SELECT *, CASE WHEN j IS NULL OR json_type(j, '$.confidence') NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'NULL') THEN 'malformed' WHEN json_extract_string(j, '$.answer') IS NULL THEN 'answer missing' ELSE '' END AS error FROM r)
+    SELECT id, error = '' AS ok, error, CASE WHEN error = '' THEN json_extract_string(j, '$.answer') END AS answer FROM e""",
     "context_metrics": """WITH x AS (SELECT record_id, [c FOR c IN citations IF c IS NOT NULL] AS r, [c FOR c IN list_distinct(citations) IF starts_with(c, 'US')] AS g FROM patents WHERE citations IS NOT NULL)
     SELECT record_id, round(CASE WHEN len(r) = 0 THEN 0.0 ELSE len([d FOR d IN r IF list_contains(g, d)]) / len(r) END, 6) AS precision, round(CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_intersect(r[1:2], g)) / len(g) END, 6) AS recall FROM x""",
     "pipeline_trace": """SELECT user_id, CAST(round(sum(CAST(value AS DECIMAL(18, 6))), 1) AS DOUBLE) AS total_ms, arg_min(event_type, event_id) AS first_stage, CAST(min(event_id) AS VARCHAR) AS first_id FROM events WHERE user_id IS NOT NULL GROUP BY 1""",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.operators.flatten import flatten, typed_table
+from sparkfolio.operators.flatten import flatten, typed_table, write_tables
 from sparkfolio.operators.hierarchy import circles, descendants, hierarchy
 from sparkfolio.operators.references import citation_references, claim_references, orphan_counts, orphan_references
-from sparkfolio.session import cut, table
+from sparkfolio.session import cut, ensure_checkpoint_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +26,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(table(spark, sf_dir, "patent_intake"), "record_id", "payload", payload=False).drop("node_depth")
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all tables, written once for each input of a session, partitioned by tag; a table is one folder of it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _WRITTEN:
+        folder = f"{ensure_checkpoint_dir(spark)}/tagged/{uuid.uuid4().hex}"
+        write_tables(flatten(table(spark, sf_dir, "patent_intake"), "record_id", "payload", root="record"), folder)
+        _WRITTEN[at] = folder
+    return spark.read.schema(TAGGED).parquet(_WRITTEN[at])
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+TAGGED = "record_id bigint, node_path string, parent_path string, node_depth int, body string, child_kind string"
+
+
 def _p3_table(tag: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return typed_table(flatten(table(spark, sf_dir, "patent_intake"), "record_id", "payload", root="record"), tag)
+        return typed_table(_tagged(spark, sf_dir), tag)
 
     return query
 
@@ -97,8 +113,31 @@ w AS (SELECT *, CASE WHEN names = 'assignees' THEN 'assignee' WHEN names = 'assi
       WHEN regexp_full_match(names, '(sections|description)(\.subsections)*\.paragraphs') THEN 'paragraph' END AS child_kind FROM u)
 SELECT record_id, child_kind, array_to_string(parts, '.') AS node_path, array_to_string(parts[1 : len(parts) - 1], '.') AS parent_path FROM w WHERE child_kind IS NOT NULL
 """
+_P3_ROWS = _P3[: _P3.rindex("SELECT record_id, child_kind")].replace("substr(fullkey, 3) AS k FROM", "substr(fullkey, 3) AS k, j.value AS x, j.type AS kind FROM").replace("SELECT record_id, [CASE", "SELECT record_id, x, kind, [CASE")
+
+
+def _p3_sql(tag: str, **columns: str) -> str:
+    """SQL of the table of a tag: its columns by their paths in an element; '' is a lone value. Nothing of the given payloads is left for `rest`."""
+    cols = "".join(f", {expr} AS {name}" for name, expr in columns.items())
+    return _P3_ROWS + f"""SELECT record_id, array_to_string(parts, '.') AS node_path, array_to_string(parts[1 : len(parts) - 1], '.') AS parent_path, CAST(len(parts) AS INT) AS node_depth{cols}, CAST(NULL AS VARCHAR) AS rest
+    FROM w WHERE child_kind = '{tag}'"""
+
+
+def _field(path: str, kind: str = "VARCHAR") -> str:
+    return f"TRY_CAST(CASE WHEN kind = 'OBJECT' THEN x ->> '$.{path}' END AS {kind})"
+
+
+_LONE = "CASE WHEN kind NOT IN ('OBJECT', 'ARRAY') THEN x ->> '$' END"
 SQL = {
     "p3_found": _P3,
+    "p3_records": _P3[: _P3.index(",\nt AS")] + """ SELECT record_id, '' AS node_path, '' AS parent_path, CAST(0 AS INT) AS node_depth, p ->> '$.doc_id' AS doc_id, p ->> '$.title' AS title, p ->> '$.source.provider' AS source_provider,
+    p ->> '$.source.note' AS source_note, CAST(NULL AS VARCHAR) AS rest FROM v WHERE p IS NOT NULL""",
+    "p3_assignees": _p3_sql("assignee", name=f"coalesce({_field('name')}, {_LONE})", address_city=_field("address.city"), address_country=_field("address.country")),
+    "p3_contacts": _p3_sql("contact", type=_field("type"), value=_field("value")),
+    "p3_claims": _p3_sql("claim", number=_field("number", "INT"), text=_field("text"), dependent_on=f"coalesce({_field('dependent_on', 'INT')}, {_field('dependentOn', 'INT')})"),
+    "p3_limitations": _p3_sql("limitation", text=_field("text"), label=_field("label")),
+    "p3_sections": _p3_sql("section", heading=_field("heading")),
+    "p3_paragraphs": _p3_sql("paragraph", text=_LONE),
     "p5_circles": _TREE
     + """, bad AS (SELECT n.* FROM n LEFT JOIN w ON w.doc_id = n.doc_id AND w.number = n.number WHERE w.number IS NULL),
     r AS (SELECT doc_id, number AS s, up AS c FROM bad UNION SELECT r.doc_id, r.s, b.up FROM r JOIN bad b ON b.doc_id = r.doc_id AND b.number = r.c),

@@ -92,8 +92,8 @@ def bm25_postfiltered(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    runs = [sparse.bm25(docs, "doc_id", "text", asked(spark), 40), sparse.tfidf(docs, "doc_id", "text", asked(spark), 40)]
+    found = cut(sparse.matches(_docs(spark, sf_dir), "doc_id", "text", asked(spark)))
+    runs = [sparse.bm25_of(found, "doc_id", 40), sparse.tfidf_of(found, "doc_id", 40)]
     return fusion.reciprocal_rank_fusion(runs, "doc_id", weights=[1.0, 0.5], keep=10)
 
 
@@ -167,7 +167,8 @@ def _known_items(spark, sf_dir):
 
 def known_item_metrics(spark, sf_dir):
     q, c = _known_items(spark, sf_dir), _chunks(spark, sf_dir)
-    runs = [sparse.bm25(c, "chunk_id", "text", q.select("query_id", "query"), 50), sparse.tfidf(c, "chunk_id", "text", q.select("query_id", "query"), 50)]
+    found = cut(sparse.matches(c, "chunk_id", "text", q.select("query_id", "query")))
+    runs = [cut(sparse.bm25_of(found, "chunk_id", 50)), cut(sparse.tfidf_of(found, "chunk_id", 50))]
     runs.append(fusion.reciprocal_rank_fusion(runs, "chunk_id", keep=50))
     u = None
     for name, r in zip(("bm25", "tfidf", "fused"), runs):
