@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,10 @@ def claim_references(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = F.concat_ws("#", "doc_id", "number")
     known = F.col("doc_id").isNotNull() & F.col("number").isNotNull()
     targets = _earliest(c.where(known).withColumn("ref_key", name), ["ref_key"], "loaded_at", "cancelled_at")
-    refs = (
-        c.where(known)
-        .groupBy("doc_id", "number")
-        .agg(F.min("loaded_at").alias("at"), F.collect_set("dependent_on").alias("parents"))
-        .select("doc_id", F.col("number").cast("string").alias("ref_from"), F.explode("parents").alias("parent"), "at")
-        .select("doc_id", "ref_from", F.col("parent").cast("string").alias("ref_to"), F.concat_ws("#", "doc_id", "parent").alias("ref_key"), "at")
+    born = c.where(known).groupBy("doc_id", "number").agg(F.min("loaded_at").alias("at"))
+    named = c.where(known & F.col("dependent_on").isNotNull()).select("doc_id", "number", F.col("dependent_on").alias("parent")).distinct()
+    refs = named.join(born, ["doc_id", "number"]).select(
+        "doc_id", F.col("number").cast("string").alias("ref_from"), F.col("parent").cast("string").alias("ref_to"), F.concat_ws("#", "doc_id", "parent").alias("ref_key"), "at"
     )
     return targets, refs
 
@@ -54,6 +54,11 @@ def citation_references(patents: DataFrame, prior: DataFrame) -> tuple[DataFrame
     return targets, refs.select("doc_id", F.lit("").alias("ref_from"), F.col("ref_key").alias("ref_to"), "ref_key", "at")
 
 
+def _state():
+    """What is wrong with a reference that was made `at` a time, from what is known of its key."""
+    return F.expr("case when parent = 0 then 'missing' when gone <= at then 'deleted' when born > at then 'late' end")
+
+
 def orphan_references(sources: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Rows (ref_table, doc_id, ref_from, ref_to, ref_state, ref_month) of all references that find no record in time.
 
@@ -65,29 +70,46 @@ def orphan_references(sources: dict[str, tuple[DataFrame, DataFrame]]) -> DataFr
     Null keys refer to nothing and are no records. Repeated rows count once. A record without a time of its own exists, but
     never late; a child without a time has a null month and can only be `missing`. Extra columns are ignored.
     """
-    long = kids = None
-    for name, (targets, refs) in sources.items():
-        tag = F.lit(name).alias("ref_table")
-        t = targets.select(tag, "ref_key", F.lit(1).alias("parent"), "born", "gone", F.lit(None).cast("timestamp_ntz").alias("first_at"), F.lit(None).cast("timestamp_ntz").alias("last_at"))
-        r = refs.select(tag, "doc_id", "ref_from", "ref_to", "ref_key", F.col("at").cast("timestamp_ntz").alias("at"))
-        c = r.select("ref_table", "ref_key", F.lit(0).alias("parent"), F.lit(None).cast("timestamp_ntz").alias("born"), F.lit(None).cast("timestamp_ntz").alias("gone"), F.col("at").alias("first_at"), F.col("at").alias("last_at"))
-        t = t.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("born", "gone")})
-        u = t.unionByName(c)
-        long = u if long is None else long.unionByName(u)
-        kids = r if kids is None else kids.unionByName(r)
-    groups = long.groupBy("ref_table", "ref_key").agg(
-        F.max("parent").alias("parent"), F.min("born").alias("born"), F.min("gone").alias("gone"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum(1 - F.col("parent")).alias("children")
-    )
-    kept = groups.where("children > 0 and (parent = 0 or born > first_at or gone <= last_at)").select("ref_table", "ref_key", "parent", "born", "gone")
-    state = F.expr("case when parent = 0 then 'missing' when gone <= at then 'deleted' when born > at then 'late' end")
+    kids, kept = _children(sources), _orphaned(sources)
     return (
         kids.join(kept, ["ref_table", "ref_key"])
-        .withColumn("ref_state", state)
+        .withColumn("ref_state", _state())
         .where("ref_state is not null")
         .select("ref_table", "doc_id", "ref_from", "ref_to", "ref_state", F.date_format("at", "yyyy-MM").alias("ref_month"))
     )
 
 
+def reference_counts(sources: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Number of the rows of orphan_references() per table, month and state: rows (ref_table, ref_month, ref_state, refs).
+
+    The children of a key that came at the same time are counted before they meet what is known of the key, and the counts are summed by period, so a
+    key that most references name is as many rows as there are times.
+    """
+    times = _children(sources).groupBy("ref_table", "ref_key", "at").agg(F.count("*").alias("n"))
+    found = times.join(_orphaned(sources), ["ref_table", "ref_key"]).withColumn("ref_state", _state()).where("ref_state is not null")
+    return found.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("ref_month"), "ref_state").agg(F.sum("n").alias("refs"))
+
+
 def orphan_counts(orphans: DataFrame) -> DataFrame:
-    """Number of such references per table, month and state."""
+    """The same from rows of orphan_references()."""
     return orphans.groupBy("ref_table", "ref_month", "ref_state").agg(F.count("*").alias("refs"))
+
+
+def _children(sources: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Rows (ref_table, doc_id, ref_from, ref_to, ref_key, at) of all references."""
+    return reduce(DataFrame.unionByName, [r.select(F.lit(n).alias("ref_table"), "doc_id", "ref_from", "ref_to", "ref_key", F.col("at").cast("timestamp_ntz").alias("at")) for n, (_, r) in sources.items()])
+
+
+def _orphaned(sources: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Rows (ref_table, ref_key, parent, born, gone) of the keys that have children which may find no parent in time."""
+    none = F.lit(None).cast("timestamp_ntz")
+    long = []
+    for name, (targets, refs) in sources.items():
+        tag, at = F.lit(name).alias("ref_table"), F.col("at").cast("timestamp_ntz")
+        born, gone = (F.col(x).cast("timestamp_ntz").alias(x) for x in ("born", "gone"))
+        long.append(targets.select(tag, "ref_key", F.lit(1).alias("parent"), born, gone, none.alias("first_at"), none.alias("last_at")))
+        long.append(refs.select(tag, "ref_key", F.lit(0).alias("parent"), none.alias("born"), none.alias("gone"), at.alias("first_at"), at.alias("last_at")))
+    groups = reduce(DataFrame.unionByName, long).groupBy("ref_table", "ref_key").agg(
+        F.max("parent").alias("parent"), F.min("born").alias("born"), F.min("gone").alias("gone"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum(1 - F.col("parent")).alias("children")
+    )
+    return groups.where("children > 0 and (parent = 0 or born > first_at or gone <= last_at)").select("ref_table", "ref_key", "parent", "born", "gone")

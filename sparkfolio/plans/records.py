@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from sparkfolio.operators.flatten import flatten, typed_table, write_tables
 from sparkfolio.operators.hierarchy import circles, descendants, hierarchy
-from sparkfolio.operators.references import citation_references, claim_references, orphan_counts, orphan_references
+from sparkfolio.operators.references import citation_references, claim_references, orphan_references, reference_counts
 from sparkfolio.session import cut, ensure_checkpoint_dir, table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
     claims, patents, prior = (table(spark, sf_dir, t) for t in ("patent_claims", "patents", "prior_art"))
-    return orphan_references({"patent_claims": claim_references(claims), "patents": citation_references(patents, prior)})
+    return {"patent_claims": claim_references(claims), "patents": citation_references(patents, prior)}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_references(_references(spark, sf_dir))
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_counts(p1_found(spark, sf_dir))
+    return reference_counts(_references(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,3 +212,34 @@ def test_deep_parser_is_the_library_parser(value, indent):
                 _parse_deep(cut)
         else:
             assert _parse_deep(cut) == want
+
+
+def test_long_chains_are_given_away_as_they_are_made():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from sparkfolio.operators import hierarchy as h
+
+    n = 6_000
+    order = np.random.default_rng(1).permutation(n)
+    part = pd.DataFrame({"g": "a", "x": np.arange(n)[order], "parent": (np.arange(n) - 1)[order], "has_parent": (np.arange(n) > 0)[order]})
+    tracemalloc.start()
+    letters = sum(sum(map(len, rows["path"])) for rows in h._local(part, "g", "x"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letters == sum(sum(map(len, map(str, range(i + 1)))) + i for i in range(n)) and peak < letters / 3
+    part = part[part["x"] < 300]
+    got = pd.concat(list(h._local(part, "g", "x"))).set_index("x")
+    assert all(got.loc[i, "path"] == "/".join(map(str, range(i + 1))) and got.loc[i, "depth"] == i for i in range(300))
+
+
+def test_counts_are_sums_of_references(spark):
+    from sparkfolio.operators.references import orphan_references, reference_counts
+
+    targets = spark.createDataFrame([("k1", 5), ("k2", 1)], "ref_key string, d int").selectExpr("ref_key", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, d) as born", "cast(null as timestamp_ntz) as gone")
+    refs = spark.range(40).selectExpr("concat('d', id) as doc_id", "'' as ref_from", "concat('k', id % 4) as ref_to", "concat('k', id % 4) as ref_key", "timestamp_ntz'2020-01-02' + make_interval(0, 0, 0, cast(id % 6 as int) * 12) as at")
+    sources = {"t": (targets, refs.union(refs.limit(1).selectExpr("doc_id", "ref_from", "ref_to", "ref_key", "cast(null as timestamp_ntz) as at")))}
+    rows = orphan_references(sources).groupBy("ref_table", "ref_month", "ref_state").count()
+    assert sorted(map(str, rows.collect())) == sorted(str(r).replace("refs=", "count=") for r in reference_counts(sources).collect()) and rows.count() > 3
