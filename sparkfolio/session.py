@@ -7,6 +7,7 @@ import math
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table written to the shared checkpoint folder and read again.
+
+    As cut(), for loops: what a plan knows of a checkpoint's columns still grows with every turn, of a table it knows nothing. The table stays until the
+    folder goes, so this is for small intermediate results.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/written/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Number of partitions that hold at most about `per_part` rows each."""
     return max(least, math.ceil(rows / per_part))
