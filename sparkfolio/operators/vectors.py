@@ -168,6 +168,91 @@ def ivf_topk(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     return _global_top(a.join(b, "cell").select("query_id", key, F.round(dot("q", vector), 6).alias("score")), key, k)
 
 
+class CellIndex:
+    """Inverted cells kept in a folder, one folder of vectors for each cell; a search reads the folders that its queries look into.
+
+    There are about as many cells as the root of the number of rows, CELLS at most, as the centres are fitted on a bounded sample. Queries go in blocks to the
+    tasks, each multiplies a cell's rows with the queries that look into it and keeps its own best k of each query, so that queries times k rows of a
+    task are shuffled, however many rows are looked at. A cell that holds most rows is many files.
+    """
+
+    CELLS = 1_024
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+        rows = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()  # CELLS at most
+        self.centres = np.array([r.centre for r in rows], float)
+        self.key, self.kind, self.probes = (rows[0].key, rows[0].kind, rows[0].probes) if rows else (None, None, 0)
+
+    @classmethod
+    def build(cls, base: DataFrame, key: str, vector: str, folder: str, cells: int | None = None, k: int = 10, recall: float = 0.95) -> CellIndex:
+        """Index all rows that have a vector. `recall`: what is aimed at for the k nearest; the number of cells to look into is measured on the sample."""
+        spark = base.sparkSession
+        there = base.where(F.col(vector).isNotNull())
+        x = _sample(base, vector)
+        want = cells or max(1, min(cls.CELLS, int(there.count() ** 0.5)))
+        centres = kmeans(x, want) if len(x) else np.empty((0, 0))
+        probes = probes_for(x, centres, k, recall) if len(x) else 0
+        kind = base.schema[key].dataType.simpleString()
+        rows = [(i, c.tolist(), key, kind, probes) for i, c in enumerate(centres)]
+        spark.createDataFrame(rows, "cell int, centre array<double>, key string, kind string, probes int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    m = _matrix(b.column(1))
+                    near = ((centres**2).sum(1) - 2 * m @ centres.T).argmin(1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=[key, "vector", "cell"])
+
+        shape = T.StructType([base.schema[key], T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("cell", T.IntegerType())])
+        placed = there.select(key, F.col(vector).cast("array<float>").alias("vector")).mapInArrow(place, shape)
+        placed.repartition("cell", F.pmod(F.xxhash64(key), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
+        return cls(spark, folder)
+
+    def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None) -> DataFrame:
+        """Rows (query_id, rank, key, score) of the k nearest by dot product in the `probes` nearest cells of each query."""
+        schema = T.StructType.fromDDL(f"query_id {queries.schema[key].dataType.simpleString()}, `{self.key or key}` {self.kind or 'bigint'}, score double")
+        out = self.spark.createDataFrame([], schema)
+        if not len(self.centres):
+            return _global_top(out, self.key or key, k)
+        table = self.spark.read.schema(f"`{self.key}` {self.kind}, vector array<float>, cell int").parquet(f"{self.folder}/vectors")
+        for names, q in query_blocks(queries, key, vector):
+            near = np.argsort((self.centres**2).sum(1) - 2 * q @ self.centres.T, axis=1)[:, : probes or self.probes]
+            out = out.unionByName(table.where(F.col("cell").isin(*map(int, np.unique(near)))).mapInArrow(self._nearest(names, q, near, k, schema), schema))
+        return _global_top(out, self.key, k)
+
+    def _nearest(self, names: np.ndarray, q: np.ndarray, near: np.ndarray, k: int, schema: T.StructType):
+        sent = self.spark.sparkContext.broadcast((names, q, near))  # a block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, near = sent.value
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def merge() -> None:
+                qi, ids, s = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((ids, -s, qi))
+                qi, ids, s = qi[order], ids[order], s[order]
+                nth = np.arange(len(qi)) - np.searchsorted(qi, qi)
+                held[:] = [(qi[nth < k], ids[nth < k], s[nth < k])]
+
+            for b in batches:
+                x, ids, cell = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+                for c in np.unique(cell):
+                    asked, mine = np.flatnonzero((near == c).any(axis=1)), np.flatnonzero(cell == c)
+                    if len(asked):
+                        s = q[asked] @ x[mine].T
+                        qi, xi = _best(s, ids[mine], k)
+                        held.append((asked[qi], ids[mine][xi], np.round(s[qi, xi], 6)))
+                        if len(held) > 16:
+                            merge()
+            if held:
+                merge()
+                qi, ids, s = held[0]
+                yield pa.RecordBatch.from_arrays([pa.array(names[qi]), pa.array(ids), pa.array(s)], names=schema.names)
+
+        return run
+
+
 def pq_fit(base: DataFrame, vector: str, parts: int = 16, codes: int = 128) -> np.ndarray:
     """Codebooks (parts x codes x width) of product quantisation, fitted on a bounded sample."""
     x = _sample(base, vector)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.operators import agent, evaluate, fusion, guards, sparse
+from sparkfolio.operators import agent, evaluate, fusion, guards, sparse, vectors
 from sparkfolio.operators.hierarchy import descendants, hierarchy
 from sparkfolio.plans import checks
 from sparkfolio.plans.records import _TREE
@@ -43,6 +43,13 @@ def index_frequencies(spark, sf_dir):
     return _index(spark, sf_dir).document_frequency()
 
 
+def ann_cells(spark, sf_dir):
+    """Every hundredth vector against all, by a kept index of cells."""
+    e = spread(table(spark, sf_dir, "embeddings")).select("vec_id", "embedding")
+    index = vectors.CellIndex.build(e, "vec_id", "embedding", f"{ensure_checkpoint_dir(spark)}/indexes/{uuid.uuid4().hex}")
+    return index.search(e.where("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
 # ------------------------------------------------------------------ agents, judges, guards
 
 
@@ -107,7 +114,7 @@ def p5_ancestors(spark, sf_dir):
     return d.select("doc_id", F.col("descendant").cast("int").alias("number"), F.col("number").cast("int").alias("ancestor"), F.col("distance").cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (index_bm25, index_okapi, index_fusion, index_frequencies, agent_steps, agent_lookups, judge_replies, document_safety, personal_documents, citation_recall_at_2, p5_ancestors)}
+QUERIES = {f.__name__: f for f in (index_bm25, index_okapi, index_fusion, index_frequencies, ann_cells, agent_steps, agent_lookups, judge_replies, document_safety, personal_documents, citation_recall_at_2, p5_ancestors)}
 
 _ASKED = """t AS (SELECT record_id AS query_id, doc_id, record_id % 3 AS kind, CASE record_id % 3 WHEN 0 THEN 'Classify ' WHEN 1 THEN 'Which claim of ' ELSE 'Find ' END || doc_id || ' ' || coalesce(title, '') AS query
  FROM patents WHERE doc_id IS NOT NULL), m AS (SELECT *, regexp_extract(query, '\\b([A-Z]{2}\\d{5,}[A-Z]\\d?)\\b', 1) AS number, lower(query) AS low FROM t)"""
