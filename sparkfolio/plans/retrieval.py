@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as tx
-from sparkfolio.operators import context, evaluate, fusion, guards, sparse, vectors
+from sparkfolio.operators import blockwise, context, evaluate, fusion, guards, sparse, vectors
 from sparkfolio.session import cut, spread, table
 
 #: The queries asked of documents and of chunks.
@@ -166,15 +166,13 @@ def _known_items(spark, sf_dir):
 
 
 def known_item_metrics(spark, sf_dir):
+    """The queries grow with the chunks, so no row of a query and a chunk is kept unless it is among the best of a block."""
     q, c = _known_items(spark, sf_dir), _chunks(spark, sf_dir)
-    found = cut(sparse.matches(c, "chunk_id", "text", q.select("query_id", "query")))
-    runs = [cut(sparse.bm25_of(found, "chunk_id", 50)), cut(sparse.tfidf_of(found, "chunk_id", 50))]
-    runs.append(fusion.reciprocal_rank_fusion(runs, "chunk_id", keep=50))
-    u = None
-    for name, r in zip(("bm25", "tfidf", "fused"), runs):
-        d = fusion.documents_of(r, "chunk_id", c).withColumn("config", F.lit(name))
-        u = d if u is None else u.unionByName(d)
-    return evaluate.mean_metrics(evaluate.query_metrics(cut(u), q.select("query_id", "document_id", "gain"), "document_id"))
+    runs = cut(blockwise.best(c, "chunk_id", "text", q.select("query_id", "query"), 50))
+    fused = fusion.reciprocal_rank_fusion([runs.where(F.col("config") == name) for name in ("bm25", "tfidf")], "chunk_id", keep=50)
+    u = runs.unionByName(fused.withColumn("config", F.lit("fused")))
+    d = fusion.documents_of(u.withColumn("query_id", F.struct("config", "query_id")), "chunk_id", c).select("query_id.*", "rank", "document_id")
+    return evaluate.mean_metrics(evaluate.query_metrics(cut(d), q.select("query_id", "document_id", "gain"), "document_id"))
 
 
 def bm25_filled(spark, sf_dir):
